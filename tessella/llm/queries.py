@@ -4,17 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import simhash
-from tessella.llm.common import table
+from tessella.llm import langid, packing, repetition, secrets, sequence_files, simhash, urls
+from tessella.llm.common import remainder, table
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, segments=3, radius=4)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(docs["doc_id"], 3) == 1
+    return langid.predict(docs, langid.train(docs.filter(~held_out)), held_out)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1)
+
+
+def op8_sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_language": op4_language,
+    "op5_quality": op5_quality,
+    "op7_packing": op7_packing,
+    "op8_sequence_files": op8_sequence_files,
+    "op9_secrets": op9_secrets,
+    "op10_urls": op10_urls,
 }
 ORACLES: dict[str, str] = {}
