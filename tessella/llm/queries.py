@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import langid, packing, repetition, secrets, sequence_files, simhash, urls
+from tessella.llm import langid, packing, repetition, secrets, sequence_files, simhash, substrings, urls
 from tessella.llm.common import remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +17,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, segments=3, radius=4)
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"), length=100)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(docs["doc_id"], 3) == 1
@@ -45,6 +49,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_substrings": op3_substrings,
     "op4_language": op4_language,
     "op5_quality": op5_quality,
     "op7_packing": op7_packing,
