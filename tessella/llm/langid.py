@@ -124,3 +124,15 @@ def predict(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string"))
     return map_batches(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text has no letter or no learned language with at least `least` probability."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scored = shared.value.score(as_bytes(b.column(at)))
+            yield b.filter(pa.array([lang != UNKNOWN and p >= least for lang, p in scored], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
