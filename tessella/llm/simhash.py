@@ -62,6 +62,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def segments_of(segments: int, radius: int) -> list[tuple[int, int, int]]:
     """(shift, width, ball radius) of each segment; a segment that needs no search (radius below 0) is left out."""
+    if not 2 <= segments <= 32:
+        raise ValueError("a segment's number and value share one 64-bit key: 2 to 32 segments")
     q, a = divmod(radius, segments)
     widths = [64 // segments + (i < 64 % segments) for i in range(segments)]
     return [(sum(widths[:i]), w, q if i <= a else q - 1) for i, w in enumerate(widths) if i <= a or q]

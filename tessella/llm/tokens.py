@@ -55,7 +55,7 @@ class Encoder:
             s = w.decode()
             if s.isalpha():
                 letters.append(s)
-            elif (body := s.rstrip(TAIL)) and body.isalpha():
+            elif (body := s.rstrip(TAIL)) and body.isalpha() and body.lower().isalpha():
                 split.append((w, body, s[len(body) :]))
             else:
                 other.append(s)
