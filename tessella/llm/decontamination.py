@@ -27,7 +27,9 @@ from tessella.llm.common import as_bytes, batch, map_batches
 MIN_WORDS, SIMILARITY = 5, 0.8
 WALKS, SETS, POSITIONS = 12, 8, 3
 #: Words of items in a block; words of documents that are looked at together.
-BLOCK_WORDS, CHUNK = 1_000_000, 1 << 19
+BLOCK_WORDS, CHUNK = 1_000_000, 1 << 21
+#: Windows that are embedded together.
+ROWS = 2048
 SCHEMA = "doc_id long, item_id long, n_items long, start_word long, n_words long, edits long, similarity double"
 
 _table = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -46,26 +48,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def keys(rows: np.ndarray, walks: int = WALKS, sets: int = SETS, positions: int = POSITIONS) -> Iterator[np.ndarray]:
-    """LSH keys of sequences of one length (a matrix of symbols): one array for each table."""
+def keys(rows: np.ndarray, walks: int = WALKS, sets: int = SETS, positions: int = POSITIONS) -> np.ndarray:
+    """LSH keys of sequences of one length (a matrix of symbols): a row for each table; all walks go side by side."""
     count, n = rows.shape
-    padded = np.concatenate([rows.astype(np.uint64), np.zeros((count, 1), np.uint64)], axis=1)
-    at, last = np.arange(count), 2 * n
-    for walk in range(walks):
-        rng = np.random.default_rng((n, walk))
-        chosen = [np.sort(rng.choice(last, min(positions, last), replace=False)) for _ in range(sets)]
-        wanted: dict[int, list[int]] = {}
-        for s, c in enumerate(chosen):
-            for j in c.tolist():
-                wanted.setdefault(j, []).append(s)
-        i, sums = np.zeros(count, np.int64), [np.full(count, s, np.uint64) for s in range(sets)]
-        for j in range(last):
-            symbol = padded[at, i]
-            for s in wanted.get(j, ()):
-                sums[s] = mix(sums[s] * _A + symbol + np.uint64(1))
-            step = mix(symbol * _A + np.uint64(walk * 4096 * 16 + j)) & np.uint64(1)
-            i = np.minimum(i + step.astype(np.int64), n)
-        yield from sums
+    padded = np.concatenate([rows.astype(np.uint64), np.zeros((count, 1), np.uint64)], axis=1).ravel()
+    last, begin = 2 * n, np.arange(count) * (n + 1)
+    rng = np.random.default_rng(n)
+    chosen = rng.random((walks, sets, last)).argsort(axis=2)[:, :, :positions]  # positions that each table looks at
+    seeds = rng.integers(0, 1 << 62, (walks, 1)).astype(np.uint64)
+    walked = np.empty((last, walks, count), np.uint64)
+    i = np.zeros((walks, count), np.int64)
+    for j in range(last):
+        symbol = walked[j] = padded[begin + i]
+        # a random bit of (walk, step, symbol)
+        bit = ((symbol + seeds) * _A + np.uint64((j + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1)) * _B
+        i += (bit >> np.uint64(63)).astype(np.int64)
+        np.minimum(i, n, out=i)
+    out = np.broadcast_to(np.arange(walks * sets, dtype=np.uint64).reshape(walks, sets, 1), (walks, sets, count))
+    for p in range(chosen.shape[2]):
+        out = mix(out * _A + walked[chosen[:, :, p], np.arange(walks)[:, None]] + np.uint64(1))
+    return out.reshape(walks * sets, count)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,15 +96,16 @@ class Items:
     def ready(self) -> Items:
         self.matrix = {n: np.array([r[2] for r in rows], np.int64) for n, rows in self.rows.items()}
         self.edits = {n: int(n * (1 - self.similarity) + 1e-9) for n in self.rows}
-        pairs = np.concatenate([(m[:, :-1] << 32 | m[:, 1:]).ravel() for m in self.matrix.values()]) if self.rows else np.zeros(0, np.int64)
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[self.pair(pairs)] = True
+        # of each word pair: the lengths of items that have it, as bits (lengths that share a bit pass more windows on)
+        self.bit = {n: i % 64 for i, n in enumerate(sorted(self.matrix))}
+        self.seen = np.zeros(1 << 22, np.uint64)
+        for n, m in self.matrix.items():
+            np.bitwise_or.at(self.seen, self.pair((m[:, :-1] << 32 | m[:, 1:]).ravel()), np.uint64(1 << self.bit[n]))
         self.tables = {}
         for n, m in self.matrix.items():
-            self.tables[n] = []
-            for k in keys(m):
-                order = np.argsort(k, kind="stable")
-                self.tables[n].append((k[order], order))
+            k = np.concatenate([keys(m[i : i + ROWS]) for i in range(0, len(m), ROWS)], axis=1)
+            order = np.argsort(k, axis=None, kind="stable")
+            self.tables[n] = k.ravel()[order], order % len(m)  # a key tells its table, so all tables are one
         return self
 
     @staticmethod
@@ -114,31 +117,38 @@ class Items:
         out = []
         if len(symbols) < 2:
             return out
-        pairs = symbols[:-1] << 32 | symbols[1:]
-        hit = (symbols[:-1] > 0) & (symbols[1:] > 0)
-        hit[hit] = self.seen[self.pair(pairs[hit])]
-        total = np.concatenate(([0], np.cumsum(hit)))
+        both = np.flatnonzero((symbols[:-1] > 0) & (symbols[1:] > 0))
+        lengths = np.zeros(len(symbols) - 1, np.uint64)
+        lengths[both] = self.seen[self.pair(symbols[both] << 32 | symbols[both + 1])]
+        at = np.flatnonzero(lengths)  # the places of pairs that some item has
+        lengths = lengths[at]
         for n in sorted(self.matrix):
             if len(symbols) < n:
                 break
             need = max(1, n - 1 - 2 * self.edits[n])
-            start = np.flatnonzero(total[n - 1 :] - total[: len(total) - n + 1] >= need)
+            hits = at[(lengths >> np.uint64(self.bit[n]) & np.uint64(1)).astype(bool)]
+            if len(hits) < need:
+                continue
+            # windows with enough pairs begin at most n - 2 words before the first of `need` pairs in a row
+            dense = hits[: len(hits) - need + 1][hits[need - 1 :] - hits[: len(hits) - need + 1] <= n - 2]
+            if not len(dense):
+                continue
+            start = np.unique((dense[:, None] - np.arange(n - 1)).ravel())
+            start = start[(start >= 0) & (start + n <= len(symbols))]
+            start = start[np.searchsorted(hits, start + n - 1) - np.searchsorted(hits, start) >= need]
             start = start[start + n <= end[start]]
-            for i in range(0, len(start), 1 << 14):
-                out += self.verify(symbols, start[i : i + (1 << 14)], n)
+            for i in range(0, len(start), ROWS):
+                out += self.verify(symbols, start[i : i + ROWS], n)
         return out
 
     def verify(self, symbols: np.ndarray, start: np.ndarray, n: int) -> list[tuple[int, int, int, int]]:
         windows = symbols[start[:, None] + np.arange(n)]
-        found = []
-        for k, (table, order) in zip(keys(windows), self.tables[n]):
-            low, high = np.searchsorted(table, k, "left"), np.searchsorted(table, k, "right")
-            at = np.flatnonzero(high > low)
-            many = (high - low)[at]
-            which = np.repeat(at, many)
-            item = order[np.repeat(low[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-            found.append(np.unique(which * len(order) + item))
-        both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        (table, items), k = self.tables[n], keys(windows).ravel()
+        low, high = np.searchsorted(table, k, "left"), np.searchsorted(table, k, "right")
+        at = np.flatnonzero(high > low)
+        many = (high - low)[at]
+        item = items[np.repeat(low[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        both = np.unique(np.repeat(at % len(start), many) * len(self.matrix[n]) + item)
         size, out = len(self.matrix[n]), []
         for i in range(0, len(both), 4096):
             w, item = both[i : i + 4096] // size, both[i : i + 4096] % size
