@@ -95,7 +95,7 @@ def code(text: str, max_chars: int = 3000, min_chars: int = 100) -> list[tuple[s
     close("end", 0)
     if len(out) > 1 and len(out[-1][0]) < min_chars:
         last = out.pop()
-        out[-1] = (f"{out[-1][0]}\n\n{last[0]}", out[-1][1], out[-1][2])
+        out[-1] = (f"{out[-1][0]}\n{last[0]}", out[-1][1], out[-1][2])
     return out
 
 
@@ -105,21 +105,14 @@ def plain(text: str, max_chars: int = 1500, overlap: int = 100) -> list[tuple[st
         return [(text.strip(), "whole", 0)] if text.strip() else []
     out, start = [], 0
     while start < len(text):
-        end, boundary = min(start + max_chars, len(text)), "size"
+        end, boundary = start + max_chars, "size"
         if end < len(text):
-            for mark, name in (("\n\n", "paragraph"), (". ", "sentence")):
-                at = text.rfind(mark, start, end)
-                if at > start + max_chars // 2:
-                    end, boundary = at + 1, name
-                    break
+            ends = {name: text.rfind(mark, start + max_chars // 2, end) for mark, name in (("\n\n", "paragraph"), (". ", "sentence"))}
+            boundary = next((name for name, at in ends.items() if at >= 0), "size")
+            end = ends[boundary] + 1 if boundary in ends else end
         if text[start:end].strip():
             out.append((text[start:end].strip(), boundary, start))
-        if end >= len(text):
-            # what is left of the text lies in the overlap
-            if end - overlap > start and text[end - overlap :].strip() and end - start == max_chars:
-                out.append((text[end - overlap :].strip(), "end", end - overlap))
-            break
-        start = end - overlap
+        start = end - overlap  # where a full window ends with the text, one more chunk holds the overlap alone
     return out
 
 

@@ -51,7 +51,8 @@ def candidates(capabilities: DataFrame, profiles: DataFrame) -> DataFrame:
     Profiles and capabilities are a dimension: some rows for each model that a site runs.
     """
     listed = capabilities.select("*", F.posexplode("candidates").alias("place", "name")).drop("candidates")
-    both = listed.join(profiles, "name").filter(F.coalesce("healthy", F.lit(True)))
+    known = profiles if "healthy" in profiles.columns else profiles.withColumn("healthy", F.lit(True))
+    both = listed.join(known, "name").filter(F.coalesce("healthy", F.lit(True)))
     fit = both.withColumn("strict", satisfies(*_limits(False))).withColumn("relaxed", satisfies(*_limits(True))).filter("strict or relaxed")
     order = F.when(F.col("objective") == "speed", F.col("avg_latency_ms")).when(F.col("objective") == "quality", -rank_of(F.col("intelligence"), schema.INTELLIGENCE)).otherwise(rank_of(F.col("cost_tier"), schema.COST).cast("double"))
     return fit.withColumn("position", F.row_number().over(Window.partitionBy("capability").orderBy(F.desc("strict"), order.cast("double"), "place")))
@@ -66,12 +67,10 @@ def select(capabilities: DataFrame, profiles: DataFrame, n: int = 1) -> DataFram
 
 # observation: calls (model, seq, latency_ms, success, entities, json_valid)
 
-_CALLS = Window.partitionBy("model").orderBy("seq")
-
-
 def rolling(calls: DataFrame) -> DataFrame:
     """Calls with the mean latency of the last 5, that of up to 15 before them, and whether the former has doubled."""
-    out = calls.withColumns({"n": F.row_number().over(_CALLS), "recent": F.avg("latency_ms").over(_CALLS.rowsBetween(-4, 0)), "before": F.avg("latency_ms").over(_CALLS.rowsBetween(-19, -5))})
+    order = Window.partitionBy("model").orderBy("seq")
+    out = calls.withColumns({"n": F.row_number().over(order), "recent": F.avg("latency_ms").over(order.rowsBetween(-4, 0)), "before": F.avg("latency_ms").over(order.rowsBetween(-19, -5))})
     return out.withColumn("doubled", (F.col("n") >= 10) & F.coalesce(F.col("recent") > 2 * F.col("before"), F.lit(False)))
 
 
