@@ -106,7 +106,7 @@ def measure(texts: list[bytes | None], min_words: int) -> list[tuple[int, ...]]:
     return [(*b, int(w), int(r), int(x)) for b, w, r, x in zip(base, windows, repeats, longest)]
 
 
-def quality(docs: DataFrame, min_words: int = 8, max_covered: float = 0.3, max_longest: float = 0.2, long_words: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, min_words: int = 8, max_covered: float = 0.4, max_longest: float = 0.2, long_words: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base counts, the base rules' verdict and the repetition verdict for each row.
 
     `kept` is false if a base rule fails, if repeats of at least `min_words` words cover more than `max_covered` of
