@@ -75,9 +75,10 @@ def rolling(calls: DataFrame) -> DataFrame:
 
 
 def ewma(calls: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """(model, ewma) of entity counts from 0, in call order; a model's counts are one array, as the order is strict."""
-    counts = F.transform(F.sort_array(F.collect_list(F.struct("seq", "entities"))), lambda x: x["entities"].cast("double"))
-    return calls.groupBy("model").agg(F.aggregate(counts, F.lit(0.0), lambda s, x: s * (1 - alpha) + x * alpha).alias("ewma"))
+    """(model, ewma) of entity counts from 0, in call order: a sum weighted by the number of calls that followed."""
+    after = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("seq"))) - 1
+    weighted = calls.withColumn("w", alpha * F.pow(F.lit(1 - alpha), after) * F.col("entities").cast("double"))
+    return weighted.groupBy("model").agg(F.sum("w").alias("ewma"))
 
 
 def rates(calls: DataFrame) -> DataFrame:

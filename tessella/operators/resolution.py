@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +33,11 @@ def canonical(name: Column, aliases: dict[str, str] | None = None) -> Column:
     return out
 
 
-def similar(names: DataFrame, least: float = 0.75, block: int = 3) -> DataFrame:
-    """(name, other, score) of distinct names that share their first characters and are alike enough, best first.
+def similar(names: DataFrame, queries: Sequence[str], least: float = 0.75) -> DataFrame:
+    """(name, other, score) for each asked name: the other known names that are alike enough.
 
-    Pairs are made inside blocks of equal first characters only: a name that differs there has no high score by prefix.
+    The asked names are a stated list: each known name is compared with each of them where it is read, without a join.
     """
-    known = names.select("name").distinct().withColumn("block", F.lower(F.substring("name", 1, block)))
-    pairs = known.join(known.withColumnRenamed("name", "other"), "block").filter("name <> other")
-    lengths = F.abs(F.length("name") - F.length("other")) <= F.greatest(F.length("name"), F.length("other"))
-    return pairs.filter(lengths).withColumn("score", fuzzy_score(F.col("name"), F.col("other"))).filter(F.col("score") >= least).select("name", "other", "score")
+    known = names.select(F.col("name").alias("other")).distinct()
+    pairs = known.select("other", F.explode(F.array(*(F.lit(q) for q in dict.fromkeys(queries)))).alias("name")).filter("name <> other")
+    return pairs.withColumn("score", fuzzy_score(F.col("name"), F.col("other"))).filter(F.col("score") >= least).select("name", "other", "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -40,8 +41,8 @@ def vector_search(rows: DataFrame, query: Sequence[float], k: int = 20, key: str
 def keyword_search(chunks: DataFrame, query: str, k: int = 20, key: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
     """The k chunks with all query words that are best by BM25, ties by id.
 
-    The corpus statistics (chunks, mean length, chunks that have each word) are one row, made by partial aggregation;
-    texts are not exploded or shuffled.
+    The corpus statistics (chunks, mean length, chunks that have each word) are one row, made by partial aggregation
+    when this is called; texts are not exploded or shuffled.
     """
     words = sorted({w for w in _words(query)})
     if not words:
@@ -50,13 +51,13 @@ def keyword_search(chunks: DataFrame, query: str, k: int = 20, key: str = "chunk
     for i, w in enumerate(words):
         counted = counted.withColumn(f"__f{i}", F.size(F.filter("__t", _is(w))))
     counted = counted.drop("__t")
-    stats = counted.agg(F.count("*").alias("__total"), F.avg("__n").alias("__avg"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"__d{i}") for i in range(len(words))))
+    stats = counted.agg(F.count("*").alias("total"), F.avg("__n").alias("mean"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"d{i}") for i in range(len(words)))).first()
     score = F.lit(0.0)
     for i in range(len(words)):
-        f, d = F.col(f"__f{i}"), F.col(f"__d{i}")
-        idf = F.log(1 + (F.col("__total") - d + 0.5) / (d + 0.5))
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__n") / F.col("__avg")))
-    hits = counted.filter(" and ".join(f"__f{i} > 0" for i in range(len(words)))).crossJoin(F.broadcast(stats))  # one row
+        f, d = F.col(f"__f{i}"), stats[f"d{i}"]
+        idf = math.log(1 + (stats["total"] - d + 0.5) / (d + 0.5))
+        score = score + F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__n") / F.lit(stats["mean"])))
+    hits = counted.filter(" and ".join(f"__f{i} > 0" for i in range(len(words))))
     return hits.withColumn("score", score).drop(*(c for c in hits.columns if c.startswith("__"))).orderBy(F.desc("score"), key).limit(k)
 
 

@@ -107,7 +107,7 @@ def camel_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(resolution.similar(frame(spark, "fx_names")), "score")
+    return rounded(resolution.similar(frame(spark, "fx_names"), ["order", "orders", "AuditService", "KYC", "missing"]), "score")
 
 
 # graph

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella import schema
@@ -60,8 +60,10 @@ def observer_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oscillation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = calls(spark, sf_dir).groupBy("model").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "latency_ms"))), lambda x: X.speed_of(x["latency_ms"] * 100)).alias("h"), F.count("*").alias("n"))
-    return c.select("model", models.oscillating(F.col("h"), F.col("n")).alias("oscillating"))
+    rows = calls(spark, sf_dir)
+    last = rows.withColumn("k", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("seq")))).filter("k <= 5")
+    five = last.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("seq", X.speed_of(F.col("latency_ms") * 100).alias("tier")))).alias("h"))  # five rows a model
+    return five.select("model", models.oscillating(F.transform("h", lambda x: x["tier"]), F.size("h")).alias("oscillating"))
 
 
 def probe_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
