@@ -179,7 +179,7 @@ def page_rank(vertices: DataFrame, edges: DataFrame, iterations: int = 3, dampin
     """
     near = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).filter("a <> b")
     near = near.union(near.select("b", "a")).distinct()
-    near = near.join(vertices.select(F.col("id").alias("a")), "a", "left_semi").join(vertices.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+    near = near.join(vertices.select(F.col("id").alias("a")), "a", "left_semi").join(vertices.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b").cache()  # read in every round; what is lost is made again
     degree = near.groupBy("a").agg(F.count("*").alias("degree"))
     n = vertices.agg(F.count("*").alias("n"))
     rank = vertices.select("id").crossJoin(F.broadcast(n)).select("id", (1 / F.col("n")).alias("rank"))

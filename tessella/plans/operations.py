@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tessella import schema
 from tessella.functions import text as X
-from tessella.operators import evaluation, models
-from tessella.plans.corpus import corpus, rounded
+from tessella.operators import engine, evaluation, extraction, models
+from tessella.plans.corpus import CHUNKS, corpus, rounded
 from tessella.plans.fixtures import cte, frame
 from tessella.streaming import events as streams
 
@@ -76,6 +76,27 @@ def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.hit_rate(e)
 
 
+def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine.Engine().register("embed", "hashing", engine.hashing_embedder(64))
+    out = e.embed(corpus(spark, sf_dir).chunks.select("chunk_id", "chunk_text"), "chunk_text", 64)
+    return rounded(out.select("chunk_id", F.size("embedding").cast("long").alias("size"), X.norm(F.col("embedding"), 64).alias("norm")), "norm", digits=3)
+
+
+#: Texts with the names that an extractor has to find.
+GOLDEN = (
+    ("public class OrderService { }", ["OrderService"]), ("class Ledger extends Book {}\nclass Page {}", ["Ledger", "Page"]), ("def load_rows(path):\n    pass", ["load_rows"]),
+    ("package com.shop.pay;", ["com.shop.pay"]), ('@GetMapping("/api/v1/list")', ["/api/v1/list"]), ("the quick brown fox", ["Fox", "Animal", "Quick"]),
+)
+
+
+def probe_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(GOLDEN)], "sample long, text string")
+    samples = spark.createDataFrame([(i, n) for i, (_, names) in enumerate(GOLDEN) for n in names], "sample long, name string")
+    found = extraction.entities(texts, "sample", "text").select(F.lit("regex").alias("model"), "sample", "name")
+    times = spark.createDataFrame([("regex", 5.0), ("regex", 7.0)], "model string, ms double")
+    return rounded(engine.probe(samples, found, times), "accuracy")
+
+
 # evaluation
 
 
@@ -147,7 +168,7 @@ def stream_observer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(streams.drain(streams.observe(rows), "update").groupBy("model").agg(*(F.max_by(c, "calls").alias(c) for c in ("errors", "ewma", "recent_ms")), F.max("calls").alias("calls")), "ewma", "recent_ms")
 
 
-QUERIES = {f.__name__: f for f in (model_select, model_rank_n, model_relax, model_latency, observer_rolling, observer_anomaly, observer_ewma, oscillation, probe_levels, cache_hits, eval_prf, eval_pivot, eval_noise, eval_overlap, gold_set, eval_latency, stream_tumbling, stream_sliding, stream_session, stream_observer)}
+QUERIES = {f.__name__: f for f in (model_select, model_rank_n, model_relax, model_latency, observer_rolling, observer_anomaly, observer_ewma, oscillation, probe_levels, embed_chunks, probe_extractor, cache_hits, eval_prf, eval_pivot, eval_noise, eval_overlap, gold_set, eval_latency, stream_tumbling, stream_sliding, stream_session, stream_observer)}
 
 _case = lambda column, table, default: f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + f" ELSE {default} END"
 _profile = f"""{cte("fx_models", "fx_health", "fx_capabilities")}, prof AS (SELECT m.* REPLACE (least(coalesce(avg_latency_ms, {_case("speed_tier", models.LATENCY, 1000.0)}::DOUBLE), h.latency_ms) AS avg_latency_ms) FROM fx_models m LEFT JOIN fx_health h USING (name))"""
@@ -170,6 +191,7 @@ ORACLES = {
     "observer_ewma": f"WITH {_calls} SELECT model, round(list_reduce(list_prepend(0.0::DOUBLE, list(entities ORDER BY seq)), lambda s, x: s * 0.9::DOUBLE + x * 0.1::DOUBLE), 6) AS ewma FROM calls GROUP BY model",
     "oscillation": f"WITH {_calls}, l AS (SELECT model, count(*) OVER (PARTITION BY model) AS n, row_number() OVER (PARTITION BY model ORDER BY seq DESC) AS k, CASE WHEN latency_ms * 100 < 100 THEN 0 WHEN latency_ms * 100 < 2000 THEN 1 WHEN latency_ms * 100 < 10000 THEN 2 ELSE 3 END AS v FROM calls) SELECT model, max(n) >= 2 AND count(DISTINCT v) FILTER (k <= 5) >= 3 AS oscillating FROM l GROUP BY model",
     "probe_levels": f"WITH {_calls}, a AS (SELECT model, avg(success::INT::DOUBLE) - 0.3::DOUBLE AS x FROM calls GROUP BY model) SELECT model, CASE WHEN x >= 0.6 THEN 'very_high' WHEN x >= 0.5 THEN 'high' WHEN x >= 0.3 THEN 'medium' ELSE 'low' END AS level FROM a",
+    "embed_chunks": f"WITH {CHUNKS} SELECT chunk_id, 64::BIGINT AS size, CASE WHEN regexp_matches(chunk_text, '[\\p{{L}}\\p{{N}}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM chunks",
     "cache_hits": "SELECT round(avg((event_type = 'view')::INT::DOUBLE), 3) AS hit_rate FROM events",
     "eval_prf": f"WITH {_lab}, f AS (SELECT 'long' AS mode, doc_id, quality FROM lab WHERE n_chars > 500 UNION ALL SELECT 'longer', doc_id, quality FROM lab WHERE n_chars > 2000), c AS (SELECT mode, count(*) FILTER (quality = 1) AS tp, count(*) FILTER (quality <> 1) AS fp FROM f GROUP BY mode), d AS (SELECT *, (SELECT count(*) FROM lab WHERE quality = 1) - tp AS fn FROM c), e AS (SELECT *, tp::DOUBLE / (tp + fp) AS p, tp::DOUBLE / (tp + fn) AS r FROM d) SELECT mode, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(2 * p * r / (p + r), 4) AS f1 FROM e",
     "eval_pivot": f"WITH {_lab} SELECT lang, count(*) FILTER (quality = 0) AS low, count(*) FILTER (quality = 1) AS high FROM lab GROUP BY lang",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessella import schema
 from tessella.functions import text as X
-from tessella.operators import catalog, chunking, evaluation, extraction, graph, hygiene, models, resolution, search
+from tessella.operators import catalog, chunking, engine, evaluation, extraction, graph, hygiene, models, resolution, search
 from tessella.sources import files
 from tessella.streaming import events as streams
 
@@ -280,3 +280,32 @@ def test_schemas(spark):
     for ddl in (schema.WINGS, schema.ROOMS, schema.PAGES, schema.CHUNKS, schema.ENTITIES, schema.RELATIONS, schema.ENTITY_CHUNKS, schema.ENTITY_LEARNING, schema.AGENTS, schema.FACTS):
         assert spark.createDataFrame([], ddl).count() == 0
     assert len(schema.STOP_ENTITIES) == len(set(schema.STOP_ENTITIES)) == 95
+
+
+def test_engine(spark):
+    def odd(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError
+        return [[float(len(t))] * 2 for t in texts]
+
+    e = engine.Engine().register("embed", "down", odd, health=lambda: False).register("embed", "up", odd)
+    df = spark.createDataFrame([(1, "abc"), (2, "bad"), (3, None)], "id long, t string")
+    assert {r.id: list(r.embedding) for r in e.embed(df, "t", 2).collect()} == {1: [3.0, 3.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
+    assert e.models("embed") == [("embed", "down"), ("embed", "up")]
+    with pytest.raises(LookupError):
+        e.driver("rerank")
+    e.register("extract", "x", lambda ts: [t[:2] for t in ts])
+    assert {r.id: r.raw for r in e.extract(df, "t", least=3, most=3).collect()} == {1: "ab", 2: "ba", 3: ""}
+    cache = engine.QueryCache(1)
+    for q in ("A ", "a", "b", "a"):
+        cache.get(q, engine.hashing_embedder(4))
+    assert cache.stats() == {"size": 1, "hits": 1, "misses": 3, "hit_rate": 0.25}
+    assert engine.wing_of_agent("7") == "agent-7" and engine.wing_of_agent("7", "w") == "w" and engine.wing_of_agent(None) is None
+
+
+def test_probe(spark):
+    samples = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "sample long, name string")
+    found = spark.createDataFrame([("m", 1, "a"), ("n", 2, "x")], "model string, sample long, name string")
+    times = spark.createDataFrame([("m", 50.0), ("n", 20000.0)], "model string, ms double")
+    got = {r.model: (r.accuracy, r.intelligence, r.speed_tier) for r in engine.probe(samples, found, times).collect()}
+    assert got == {"m": (0.5, "high", "fast"), "n": (0.0, "low", "batch")}
