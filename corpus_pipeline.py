@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontamination, langid, packing, secrets, simhash
-from tessella.llm.common import materialise, remainder, setup, table
+from tessella.llm.common import keep_last, materialise, remainder, setup, table, written
 
 #: Posterior probability that a document's language must have at least.
 LANGUAGE_SCORE = 0.5
@@ -61,7 +61,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        keep_last(spark, since)  # what the stage has read and made on the way
     return docs

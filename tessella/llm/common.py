@@ -62,6 +62,13 @@ def release(spark: SparkSession, since: int = 0) -> None:
         delete(spark, _written.pop())
 
 
+def keep_last(spark: SparkSession, since: int) -> None:
+    """Deletes the scratch tables from number `since` on but for the last one, which no longer needs them."""
+    last = _written.pop()
+    release(spark, since)
+    _written.append(last)
+
+
 def written() -> int:
     return len(_written)
 
@@ -130,9 +137,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
         links = materialise(small, "links")
-    keep = _written.pop()
-    release(edges.sparkSession, since)
-    _written.append(keep)
+    keep_last(edges.sparkSession, since)
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import as_bytes, batch, components, map_batches, materialise
+from tessella.llm.common import as_bytes, batch, components, keep_last, map_batches, materialise, written
 
 CHUNK = 1 << 16
 #: Buckets of up to so many rows are compared row by row, all at once; in larger ones only a spanning forest is kept.
@@ -224,10 +224,12 @@ def grouped(found: DataFrame, segments: int, radius: int) -> DataFrame:
     """
     names = [c for c in found.columns if c.startswith("fp")]
     distinct = materialise(found.select(names).distinct(), "distinct")
+    since = written()
     edges = links(distinct.select(F.col("fp0").alias("fp")), segments, radius)
     for other in names[1:]:
         edges = edges.union(links(distinct.select(F.col(other).alias("fp")).distinct(), segments, radius)).union(distinct.select("fp0", other))
     roots = components(edges)
+    keep_last(found.sparkSession, since)
     return distinct.select("fp0").distinct().join(roots.withColumnRenamed("node", "fp0"), "fp0", "left").select("fp0", F.coalesce("root", "fp0").alias("root"))
 
 
