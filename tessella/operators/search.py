@@ -38,7 +38,7 @@ def vector_search(rows: DataFrame, query: Sequence[float], k: int = 20, key: str
     return known.withColumn("score", score).drop(embedding).orderBy(F.desc("score"), key).limit(k)
 
 
-def keyword_search(chunks: DataFrame, query: str, k: int = 20, key: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
+def keyword_search(chunks: DataFrame, query: str, k: int = 20, key: str = "chunk_id", text: str = "chunk_text", with_text: bool = True) -> DataFrame:
     """The k chunks with all query words that are best by BM25, ties by id.
 
     The corpus statistics (chunks, mean length, chunks that have each word) are one row, made by partial aggregation
@@ -50,7 +50,8 @@ def keyword_search(chunks: DataFrame, query: str, k: int = 20, key: str = "chunk
     counted = chunks.withColumn("__t", terms(F.col(text))).withColumn("__n", F.size("__t"))
     for i, w in enumerate(words):
         counted = counted.withColumn(f"__f{i}", F.size(F.filter("__t", _is(w))))
-    counted = counted.drop("__t")
+    # without texts, a row is a few numbers: kept, so that texts are read and split once
+    counted = counted.drop("__t") if with_text else counted.drop("__t", text).cache()
     stats = counted.agg(F.count("*").alias("total"), F.avg("__n").alias("mean"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"d{i}") for i in range(len(words)))).first()
     score = F.lit(0.0)
     for i in range(len(words)):
@@ -134,7 +135,7 @@ def search(chunks: DataFrame, embeddings: DataFrame, r: Request) -> DataFrame:
     vectors = vector_search(places.join(embeddings.select("chunk_id", "embedding"), "chunk_id"), r.embedding, 2 * r.top_k) if r.embedding is not None else places.withColumn("score", F.lit(0.0)).limit(0)
     if not r.hybrid:
         return vectors.limit(r.top_k)
-    words = keyword_search(rows, r.query, 2 * r.top_k).drop("chunk_text", "token_count")
+    words = keyword_search(rows, r.query, 2 * r.top_k, with_text=False).drop("token_count")
     return fuse(listed(vectors), listed(words), r.top_k, boost=recency(r.now, r.recent_days, r.recent_weight) if r.temporal_boost else None)
 
 

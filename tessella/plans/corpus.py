@@ -165,7 +165,7 @@ def vector_topk(spark: SparkSession, sf_dir: str, wing: str | None = None, after
 
 
 def keyword_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(search.keyword_search(corpus(spark, sf_dir).chunks, WORDS, 20).select("chunk_id", "wing", "room", "score"), "score")
+    return rounded(search.keyword_search(corpus(spark, sf_dir).chunks, WORDS, 20, with_text=False).select("chunk_id", "wing", "room", "score"), "score")
 
 
 def keyword_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
