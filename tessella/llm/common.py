@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper bound of one Arrow batch sent to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 8192, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 8192, 6 << 20
 
 
 def setup(spark: SparkSession) -> SparkSession:
