@@ -9,8 +9,10 @@ a + 1 segments or within q - 1 bits in another one (Norouzi, Punjani and Fleet 2
 only: both sides clear up to q set bits and meet at the AND of their segments, which halves the probes.
 
 A bucket is compared in blocks inside one task, which returns only a spanning forest of its links, never its pairs.
-A bucket of more than `bucket` rows isn't compared: its fingerprints go to an exact linear route, in which two
-fingerprints within 2*h bits share a point within h bits of both, and each point links its fingerprints to the least.
+A bucket of more than `bucket` rows isn't compared in one task. Up to a radius of 4 its fingerprints go to an exact
+linear route, in which two fingerprints within 2*h bits share a point within h bits of both, and each point links its
+fingerprints to the least. Beyond, a fingerprint has too many points (679,121 within 4 bits), so the bucket is cut into
+blocks, and each pair of blocks is a group of its own.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import as_bytes, batch, components, keep_last, map_batches, materialise, written
@@ -117,7 +119,7 @@ def forest(fps: np.ndarray, cleared: np.ndarray, within: int, radius: int, block
 def links(fps: DataFrame, segments: int = 3, radius: int = 4, bucket: int = 20_000) -> DataFrame:
     """Links (a, b) of distinct fingerprints (column fp) whose components are those of all pairs within `radius` bits."""
     within = [q for _, _, q in segments_of(segments, radius)]
-    names = ["a", "b", "hot"]
+    names = ["a", "b", "hot", "key", "cleared"]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,12 +150,16 @@ def links(fps: DataFrame, segments: int = 3, radius: int = 4, bucket: int = 20_0
         for g in large.tolist():
             s, e = int(bounds[g]), int(bounds[g + 1])
             if e - s > bucket:
-                yield batch(names, f[s:e].view(np.int64), f[s:e].view(np.int64), np.ones(e - s, bool))
+                yield passed(k[s:e], c[s:e], f[s:e])
             else:
                 found.append(forest(f[s:e], c[s:e], within[int(k[s]) >> 58 & 63], radius))
         a, b = (np.concatenate(x) for x in zip(*found))
         if len(a):
-            yield batch(names, a.view(np.int64), b.view(np.int64), np.zeros(len(a), bool))
+            yield batch(names, a.view(np.int64), b.view(np.int64), np.zeros(len(a), bool), np.zeros(len(a), np.int64), np.zeros(len(a), np.int8))
+
+    def passed(k: np.ndarray, c: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        """Rows of a bucket that is too large for one task."""
+        return batch(names, f.view(np.int64), f.view(np.int64), np.ones(len(f), bool), k, c.astype(np.int8))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -163,7 +169,7 @@ def links(fps: DataFrame, segments: int = 3, radius: int = 4, bucket: int = 20_0
             c, f = c.astype(np.int16), f.view(np.uint64)
             if hot is not None:
                 n = int(np.searchsorted(k, hot, "right"))
-                yield batch(names, f[:n].view(np.int64), f[:n].view(np.int64), np.ones(n, bool))
+                yield passed(k[:n], c[:n], f[:n])
                 k, c, f = k[n:], c[n:], f[n:]
                 hot = hot if not len(k) else None
             held.append((k, c, f))
@@ -174,7 +180,7 @@ def links(fps: DataFrame, segments: int = 3, radius: int = 4, bucket: int = 20_0
                 k, c, f = k[last:], c[last:], f[last:]
                 if len(k) > bucket:
                     hot = k[0]
-                    yield batch(names, f.view(np.int64), f.view(np.int64), np.ones(len(f), bool))
+                    yield passed(k, c, f)
                     k, c, f = k[:0], c[:0], f[:0]
                 held = [(k, c, f)]
         k, c, f = (np.concatenate(h) for h in zip(*held)) if held else (np.zeros(0, np.int64),) * 3
@@ -182,14 +188,34 @@ def links(fps: DataFrame, segments: int = 3, radius: int = 4, bucket: int = 20_0
             yield from groups(k, c, f)
 
     rows = map_batches(fps.select("fp"), probe, "key long, cleared tinyint, fp long")
-    found = materialise(map_batches(rows.repartition("key").sortWithinPartitions("key"), compare, "a long, b long, hot boolean"), "near")
+    found = materialise(map_batches(rows.repartition("key").sortWithinPartitions("key"), compare, "a long, b long, hot boolean, key long, cleared tinyint"), "near")
     out = found.filter("not hot").select("a", "b")
-    hot = found.filter("hot").select("a")
+    hot = found.filter("hot").select("key", "cleared", F.col("a").alias("fp"))
     if hot.limit(1).count():
-        out = out.union(through_midpoints(hot.distinct(), radius))
+        out = out.union(through_midpoints(hot.select(F.col("fp").alias("a")).distinct(), radius) if radius <= 4 else by_block_pairs(hot, within, radius, bucket))
     return out
 
 
+def by_block_pairs(rows: DataFrame, within: list[int], radius: int, size: int) -> DataFrame:
+    """Links of the buckets in rows (key, cleared, fp): each is cut into blocks of about `size` rows, and a group holds two blocks."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        k, c, f = (group.column(n).to_numpy() for n in ("key", "cleared", "fp"))
+        a, b = forest(f.view(np.uint64), c.astype(np.int16), within[int(k[0]) >> 58 & 63], radius)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    # at least two blocks, so that rows of one block meet in the pairs that it is in
+    counts = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / size), F.lit(2)).cast("long").alias("blocks"))
+    placed = rows.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
+    return dealt(placed, F.col("block"), F.col("blocks")).groupBy("key", "x", "y").applyInArrow(compare, "a long, b long")
+
+
+def dealt(rows: DataFrame, block: Column, blocks: Column) -> DataFrame:
+    """Each row once for each pair (x, y) of different blocks that holds the row's block."""
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    return rows.withColumn("other", other).filter(F.col("other") != block).withColumns({"x": F.least(block, "other"), "y": F.greatest(block, "other")}).drop("other")
+
+
 def group_bounds(keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
 

@@ -83,6 +83,12 @@ def test_links(spark, segments, radius, bucket):
     assert {f: find(f) for f in fps} == brute_components(fps, radius)
 
 
+@pytest.mark.parametrize("bucket", [2, 9])
+def test_links_of_hot_buckets_beyond_midpoints(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "through_midpoints", lambda *a: pytest.fail("679,121 points for each fingerprint"))
+    test_links(spark, 4, 8, bucket)
+
+
 def test_components(spark):
     r = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2300)]
