@@ -17,6 +17,8 @@ from tessella.llm.common import keep_last, materialise, remainder, setup, table,
 
 #: Posterior probability that a document's language must have at least.
 LANGUAGE_SCORE = 0.5
+#: Jaccard similarity of the five-word shingles from which on two documents are near copies.
+SIMILARITY = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +28,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: that with the least doc_id."""
+    """Keeps one document of each group of near copies (0.8 of the five-word shingles): that with the least doc_id."""
     setup(spark)
-    return simhash.keep_first(docs)
+    return simhash.keep_similar(docs, SIMILARITY)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
