@@ -230,4 +230,78 @@ def inverted_search(indexed: DataFrame, centres: list[list[float]], query: Seque
     return vector_search(indexed.filter(F.col("cell").isin(*order[:probes])), query, k).drop("cell")
 
 
-__all__ = ["Request", "cosine", "fuse", "hours_to_days", "inverted_file", "inverted_search", "keyword_search", "page_rank", "propagate", "recency", "rerank", "scoped", "search", "strip", "vector_search", "wake", "word_overlap"]
+def inverted_search_all(indexed: DataFrame, centres: list[list[float]], queries: DataFrame, k: int = 20, probes: int = 4, key: str = "chunk_id", block: int = 20_000) -> DataFrame:
+    """The k rows most like each query (query_id, embedding) by cosine, ties by id: (query_id, key, score), the same as without an index.
+
+    The `probes` nearest cells give a k-th best score; then every other cell is searched that could still hold a better
+    row: none is closer to the query than the angle to the cell's centre less the cell's widest angle. A cell of more
+    than `block` rows is dealt to several tasks; each returns k rows for a query at most.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    fields, kind = f"query_id long, {key} long, score double", "embedding array<double>"
+    c = np.array(centres, float).reshape(len(centres), -1)
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        x = np.array(column.to_pylist(), float).reshape(len(column), -1)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def angle(cos: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(cos, -1, 1))
+
+    def widths(batches):
+        for b in batches:
+            cell = b.column(0).to_numpy().astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"cell": cell, "width": angle((unit(b.column(1)) * c[cell]).sum(1)), "n": np.ones(len(cell), np.int64)})
+
+    known = lambda df: df.filter(F.col("embedding").isNotNull() & (F.size("embedding") == c.shape[1])).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    rows = known(indexed).select(F.col(key).cast("long").alias(key), F.col("cell").cast("long").alias("cell"), "embedding")
+    # one row a cell
+    cells = {r.cell: r for r in rows.select("cell", "embedding").mapInArrow(widths, "cell long, width double, n long").groupBy("cell").agg(F.max("width").alias("width"), F.sum("n").alias("n")).collect()}
+    held = sorted(cells)
+    if not held:
+        return queries.sparkSession.createDataFrame([], fields)
+    width, blocks = np.array([cells[i].width for i in held]), {i: -(-cells[i].n // block) for i in held}
+
+    def reach(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            away = angle(unit(b.column(1)) @ c[held].T)
+            place = away.argsort(1).argsort(1)
+            best = np.cos(np.maximum(away - width, 0))
+            n, at = len(b), np.repeat(np.arange(len(b)), len(held))
+            yield pa.RecordBatch.from_pydict({"query_id": b.column(0).take(pa.array(at)), "embedding": b.column(1).take(pa.array(at)), "cell": np.tile(np.array(held, np.int64), n), "place": place.ravel().astype(np.int64), "best": best.ravel()})
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = {"query_id": [], key: [], "score": []}
+        if left.num_rows and right.num_rows:
+            ids, x = left.column(key).to_numpy(), unit(left.column("embedding"))
+            for q, v in zip(right.column("query_id").to_pylist(), unit(right.column("embedding"))):
+                s = x @ v
+                first = np.lexsort((ids, -s))[:k]
+                found["query_id"] += [q] * len(first)
+                found[key] += ids[first].tolist()
+                found["score"] += s[first].tolist()
+        return pa.table(found, schema=pa.schema([("query_id", pa.int64()), (key, pa.int64()), ("score", pa.float64())]))
+
+    of = F.element_at(F.create_map(*(F.lit(x) for i in held for x in (i, blocks[i]))), F.col("cell"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(key), of))
+
+    def searched(asked: DataFrame) -> DataFrame:
+        spread = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), of.cast("long") - 1)))
+        return dealt.groupBy("cell", "block").cogroup(spread.groupBy("cell", "block")).applyInArrow(score, fields)
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).filter(F.col("place") <= k)
+
+    asked = known(queries).select(F.col("query_id").cast("long").alias("query_id"), "embedding").mapInArrow(reach, f"query_id long, {kind}, cell long, place long, best double")
+    near = best(searched(asked.filter(F.col("place") < probes)))
+    least = near.filter(F.col("place") == k).select("query_id", F.col("score").alias("least"))
+    # rounding must not close a cell
+    far = asked.filter(F.col("place") >= probes).join(least, "query_id", "left").filter(F.col("least").isNull() | (F.col("best") >= F.col("least") - 1e-9)).drop("least")
+    return best(near.drop("place").union(searched(far))).drop("place")
+
+
+__all__ = ["Request", "cosine", "fuse", "hours_to_days", "inverted_file", "inverted_search", "inverted_search_all", "keyword_search", "page_rank", "propagate", "recency", "rerank", "scoped", "search", "strip", "vector_search", "wake", "word_overlap"]

@@ -196,7 +196,8 @@ def rerank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
     indexed, centres = search.inverted_file(c.embeddings, cells=16)
-    return rounded(search.inverted_search(indexed, centres, query_vector(c), 20, probes=4).select("chunk_id", "score"), "score")
+    queries = c.table("embeddings").filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return rounded(search.inverted_search_all(indexed, centres, queries, 20, probes=4).select("query_id", "chunk_id", "score"), "score")
 
 
 def result_preview(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,6 +180,46 @@ def test_inverted_file_recall(spark):
     assert len(exact & {x.chunk_id for x in search.inverted_search(indexed, centres, q, 10, probes=4).collect()}) >= 6
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_vector_ivf_recall(spark, sf):
+    """At least 0.9 of the true neighbours for each id divisible by 100, against all rows."""
+    import os
+
+    import numpy as np
+
+    from tessella.plans import corpus
+
+    path = f"/root/testdata/{sf}"
+    if not os.path.isdir(path):
+        pytest.skip("needs the driver's tables")
+    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").collect())
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in corpus.vector_ivf(spark, path).collect():
+        got.setdefault(r.query_id, set()).add(r.chunk_id // 1_000_000)
+    asked = [i for i in ids.tolist() if i % 100 == 0]
+    assert sorted(got) == asked
+    for q in asked:
+        exact = set(ids[np.lexsort((ids, -(x @ x[ids == q][0])))[:20]].tolist())
+        assert len(got[q]) == 20 and len(got[q] & exact) >= 18
+    top = {r.chunk_id // 1_000_000 for r in corpus.vector_topk(spark, path).collect()}
+    assert len(got[0] & top) >= 18
+
+
+def test_inverted_search_all_deals_cells(spark):
+    import random
+
+    r = random.Random(4)
+    rows = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(300)], "chunk_id long, embedding array<float>")
+    indexed, centres = search.inverted_file(rows, cells=8)
+    queries = rows.filter("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
+    got = {}
+    for x in search.inverted_search_all(indexed, centres, queries, 10, probes=2, block=7).collect():
+        got.setdefault(x.query_id, set()).add(x.chunk_id)
+    assert got == {q.query_id: {x.chunk_id for x in search.vector_search(rows, q.embedding, 10).collect()} for q in queries.collect()}
+
+
 # graph and hygiene
 
 
