@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,7 +34,7 @@ def scratch_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = f"file://{tempfile.gettempdir()}/tessella-scratch"
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/")
 
@@ -116,12 +117,30 @@ def ordered_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return keyed.join(F.broadcast(before), "part").select((F.col("local") - F.col("first") + F.col("before")).alias("ord"), "doc_id", "text"), True
 
 
+def hub_join(rows: DataFrame, per_key: DataFrame, on: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """rows joined with per_key, which has one row for each key; a key with very many rows is spread over several tasks.
+
+    Keys of more than 1,000 rows and more than a 20,000th of all rows are counted and sent to all tasks: 20,000 at most.
+    `counts` holds the keys of rows where counting these themselves would make them twice.
+    """
+    counted = (rows if counts is None else counts).groupBy(*on).agg(F.count("*").alias("n"))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = max(1000, total // 20_000)
+    if total <= limit or not (heavy := counted.filter(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("long").alias("salts")).collect()):
+        return rows.join(per_key, on)
+    salts = F.broadcast(rows.sparkSession.createDataFrame(heavy, ", ".join(f"{c} long" for c in [*on, "salts"])))
+    others = [c for c in rows.columns if c not in on]
+    dealt = rows.join(salts, on, "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(*others), "salts")).otherwise(0)).drop("salts")
+    copies = per_key.join(salts, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt.join(copies, [*on, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (a, b) of longs: rows (node, root), root the least node reachable, roots left out.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014): O(log n) rounds, in each of which a node's
-    links are summed up by partial aggregation, so a hub with very many links is no single task's work. The rounds'
-    links are written to the shared folder; nothing is collected but two numbers to see when links stop to change.
+    Alternating large-star and small-star steps (Kiveris et al. 2014): O(log n) rounds. A node's least neighbour comes
+    from a partial aggregation, and a hub's links are joined with it in several tasks. The rounds' links are written to
+    the shared folder; nothing is collected but two numbers to see when links stop to change, and a bounded list of hubs.
     """
     since = written()
     links = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
@@ -133,9 +152,9 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = materialise(hub_join(both.filter("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "links")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
+        small = hub_join(large, low, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
         links = materialise(small, "links")
     keep_last(edges.sparkSession, since)
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
