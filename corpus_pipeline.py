@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontamination, langid, packing, secrets, simhash
+from tessella.llm import decontamination, langid, nearcopies, packing, secrets
 from tessella.llm.common import keep_last, materialise, remainder, setup, table, written
 
 #: Posterior probability that a document's language must have at least.
@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies (0.8 of the five-word shingles): that with the least doc_id."""
     setup(spark)
-    return simhash.keep_similar(docs, SIMILARITY)
+    return nearcopies.keep_similar(docs, SIMILARITY)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
