@@ -14,7 +14,7 @@ TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, segments=3, radius=4)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Plan: fingerprints (one Arrow pass, no shuffle) -> distinct fingerprints (partia
 billion times is one row) -> each fingerprint's segments with their small Hamming balls -> segment tables matched by a
 shuffle on (segment, value) -> complete distances -> components of the links -> one row per document.
 
-With `segments` = m and `radius` = r = m*q + a, two fingerprints within r bits agree within q bits in one of the first
+The number of segments follows from the number of fingerprints (three of 21 bits, two of 32 from about 1.3e8 on), so
+buckets of chance stay small at any size. With `segments` = m and `radius` = r = m*q + a, two fingerprints within r bits agree within q bits in one of the first
 a + 1 segments or within q - 1 bits in another one (Norouzi, Punjani and Fleet 2012). Balls are enumerated downwards
 only: both sides clear up to q set bits and meet at the AND of their segments, which halves the probes.
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import as_bytes, batch, components, keep_last, map_batches, materialise, written
+from tessella.llm.common import as_bytes, batch, components, hub_join, keep_last, map_batches, materialise, written
 
 CHUNK = 1 << 16
 #: Buckets of up to so many rows are compared row by row, all at once; in larger ones only a spanning forest is kept.
@@ -81,16 +82,14 @@ def signature(shingles: np.ndarray, seeds: int) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).astype(np.int64)), *(majority(mixed(x, seed) for x in parts) for seed in range(seeds))]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """(doc_id, fp0, fp1, ...) for each row: a signed long for each seed."""
-    names = [f"fp{i}" for i in range(len(seeds))]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
+    """(doc_id, fp0) for each row: the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_bytes(b.column(1))
-            yield batch(["doc_id", *names], b.column(0), *(pa.array([fingerprint(t, shingle, seed) for t in texts], pa.int64()) for seed in seeds))
+            yield batch(["doc_id", "fp0"], b.column(0), pa.array([fingerprint(t, shingle, seed) for t in as_bytes(b.column(1))], pa.int64()))
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")), run, ", ".join(f"{n} long" for n in ["doc_id", *names]))
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")), run, "doc_id long, fp0 long")
 
 
 def segments_of(segments: int, radius: int) -> list[tuple[int, int, int]]:
@@ -147,8 +146,18 @@ def forest(fps: np.ndarray, cleared: np.ndarray, within: int, radius: int, block
     return fps[child], fps[parents[child]]
 
 
-def links(fps: DataFrame, segments: int = 3, radius: int = 4, bucket: int = 20_000) -> DataFrame:
-    """Links (a, b) of distinct fingerprints (column fp) whose components are those of all pairs within `radius` bits."""
+def segments_for(n: int, radius: int, rows: int = 64) -> int:
+    """The most segments that leave about `rows` of n fingerprints to a segment's value: two or three, so that a ball is small."""
+    bits = max(1.0, np.log2(max(n, 1) / rows))
+    return int(min(max(64 // bits, 2), 3, radius + 1))
+
+
+def links(fps: DataFrame, segments: int | None = None, radius: int = 4, bucket: int = 20_000) -> DataFrame:
+    """Links (a, b) of distinct fingerprints (column fp) whose components are those of all pairs within `radius` bits.
+
+    The number of segments follows from the number of fingerprints where it isn't given, so buckets of chance stay small.
+    """
+    segments = segments or segments_for(fps.count(), radius)
     within = [q for _, _, q in segments_of(segments, radius)]
     names = ["a", "b", "hot", "key", "cleared"]
 
@@ -274,23 +283,15 @@ def through_midpoints(fps: DataFrame, radius: int) -> DataFrame:
     return rows.join(hub, "point").filter("a <> b").select("a", "b").distinct()
 
 
-def grouped(found: DataFrame, segments: int, radius: int) -> DataFrame:
-    """(fp0, root) of distinct fingerprints: root names the component, over the links of every seed's fingerprints.
-
-    `found` has the columns fp0, fp1, ...; fingerprints of one row are linked, so one seed's links join the others'.
-    """
-    names = [c for c in found.columns if c.startswith("fp")]
-    distinct = materialise(found.select(names).distinct(), "distinct")
+def grouped(distinct: DataFrame, segments: int | None, radius: int) -> DataFrame:
+    """(fp0, root) of distinct fingerprints: root names the component."""
     since = written()
-    edges = links(distinct.select(F.col("fp0").alias("fp")), segments, radius)
-    for other in names[1:]:
-        edges = edges.union(links(distinct.select(F.col(other).alias("fp")).distinct(), segments, radius)).union(distinct.select("fp0", other))
-    roots = components(edges)
-    keep_last(found.sparkSession, since)
-    return distinct.select("fp0").distinct().join(roots.withColumnRenamed("node", "fp0"), "fp0", "left").select("fp0", F.coalesce("root", "fp0").alias("root"))
+    roots = components(links(distinct.select(F.col("fp0").alias("fp")), segments, radius))
+    keep_last(distinct.sparkSession, since)
+    return distinct.select("fp0").join(roots.withColumnRenamed("node", "fp0"), "fp0", "left").select("fp0", F.coalesce("root", "fp0").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, segments: int = 3, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, segments: int | None = None, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs.
 
     component_id is the least doc_id reachable over links of `radius` bits or fewer. Null or wordless texts have the
@@ -299,143 +300,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     # least ids are aggregated by fingerprint before anything is joined: copies of a text meet as one row of each task
-    first = found.groupBy("fp0").agg(F.min("doc_id").alias("first"))
-    rooted = first.join(grouped(found, segments, radius), "fp0")
+    first = materialise(found.groupBy("fp0").agg(F.min("doc_id").alias("first")), "distinct")
+    rooted = materialise(first.join(grouped(first, segments, radius), "fp0"), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp0", "component_id")
-    return found.join(named, "fp0", "left").select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-PLACE = "__place"
-
-
-def placed(docs: DataFrame, id_col: str) -> tuple[DataFrame, bool]:
-    """docs with a column that tells rows apart, and whether that is not simply the id."""
-    clash = bool(docs.groupBy(id_col).count().filter(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count())
-    return materialise(docs.withColumn(PLACE, F.monotonically_increasing_id()), "placed") if clash else docs.withColumn(PLACE, F.col(id_col).cast("long")), clash
-
-
-def with_given(found: DataFrame, rows: DataFrame, clash: bool, id_col: str) -> DataFrame:
-    """found (doc_id is the place) with the row's own id as `given`."""
-    return found.join(rows.select(F.col(PLACE).alias("doc_id"), F.col(id_col).cast("long").alias("given")), "doc_id") if clash else found.withColumn("given", F.col("doc_id"))
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, segments: int = 4, radius: int = 8, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
-    """docs without near copies: of each group the row with the least id stays, with all its columns.
-
-    Two texts are linked if the fingerprints of any seed differ in `radius` bits or fewer, whatever they share. Null ids
-    come last; of rows with the same id one stays, chosen by place.
-    """
-    rows, clash = placed(docs, id_col)
-    found = materialise(fingerprints(rows, PLACE, text_col, shingle, seeds), "fingerprints")
-    order = with_given(found, rows, clash, id_col)
-    first = order.groupBy("fp0").agg(F.min(F.struct(F.col("given").isNull().alias("last"), "given", F.col("doc_id").alias("place"))).alias("first"))
-    stay = first.join(grouped(found, segments, radius), "fp0").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.place").alias(PLACE))
-    return rows.join(stay, PLACE, "left_semi").select(docs.columns)
-
-
-def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links (child, parent) of positions that join the sets whose Jaccard similarity is `similarity` or more, counted exactly."""
-    n, size = len(sets), np.array([len(x) for x in sets], np.int64)
-    elements, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
-    order = np.argsort(elements, kind="stable")
-    runs = group_bounds(elements[order])
-    length = np.diff(runs)
-    run_of = np.empty(len(elements), np.int64)
-    run_of[order] = np.repeat(np.arange(len(length)), length)
-    owner_of, ends, root = owner[order], np.cumsum(size), np.arange(n)
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for i in range(n):
-        mine = run_of[ends[i] - size[i] : ends[i]]
-        mine = mine[length[mine] > 1]
-        shared = np.zeros(n, np.int64)
-        cuts = np.searchsorted(np.cumsum(length[mine]), np.arange(1 << 20, int(length[mine].sum()), 1 << 20))  # bounds the places held at once
-        for part in np.split(mine, cuts):
-            at = np.repeat(runs[part] - np.cumsum(length[part]) + length[part], length[part]) + np.arange(int(length[part].sum()))
-            shared += np.bincount(owner_of[at], minlength=n)
-        union = np.maximum(size[i] + size - shared, 1)
-        for j in np.flatnonzero(shared / union >= similarity).tolist():
-            a, b = find(i), find(j)
-            root[max(a, b)] = min(a, b)
-    parents = np.array([find(x) for x in range(n)], np.int64)
-    child = np.flatnonzero(parents != np.arange(n))
-    return child, parents[child]
-
-
-def similar_links(sets: DataFrame, similarity: float, block: int = 512, pivots: int = 16) -> DataFrame:
-    """Links (a, b) of digests whose components are those of all pairs of one root with the similarity, in rows (root, n, digest, shingles).
-
-    A root of up to `block` sets (n) is one group. A larger one is cut into blocks, each with the same few pivots, which
-    join most of what belongs together. Then blocks are made anew, within what has been joined where that is large, and
-    each pair of blocks is a group but for those of one joined part. So no pair that could still join two parts is left
-    out, no task has more than two blocks, and a large group of near copies costs little more than its size.
-    """
-
-    def compare(group: pa.Table) -> pa.Table:
-        digests, at = np.unique(group.column("digest").to_numpy(), return_index=True)
-        held = group.column("shingles").combine_chunks()
-        a, b = similar([np.frombuffer(held[int(i)].as_py(), np.uint64) for i in at], similarity)
-        return pa.table({"a": digests[a], "b": digests[b]})
-
-    def hash_of(column: str, blocks: Column) -> Column:
-        return F.pmod(F.xxhash64(column), blocks)
-
-    blocks = F.ceil(F.col("n") / block).cast("long")
-    everywhere = (F.col("n") > block) & (F.pmod(F.xxhash64("digest", F.lit(1)), F.col("n")) < pivots)
-    first = sets.withColumn("block", F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(hash_of("digest", blocks)))))
-    found = materialise(first.groupBy("root", "block").applyInArrow(compare, "a long, b long"), "similar")
-    large = sets.filter(F.col("n") > block)
-    if not large.limit(1).count():
-        return found
-    part = components(found).select(F.col("node").alias("digest"), F.col("root").alias("part"))
-    parts = large.join(part, "digest", "left").withColumn("part", F.coalesce("part", "digest"))
-    sizes = materialise(parts.groupBy("root", "part").agg(F.count("*").alias("size")), "parts")
-    rest = sizes.groupBy("root").agg(F.count("*").alias("parts"), F.coalesce(F.sum(F.when(F.col("size") < block, F.col("size"))), F.lit(0)).alias("rest")).filter("parts > 1")
-    own = F.col("size") >= block
-    # a part of its own, or (0, false) for all small ones together
-    cut = parts.join(sizes, ["root", "part"]).join(rest, "root").select("root", "digest", "shingles", own.alias("own"), F.when(own, F.col("part")).otherwise(F.lit(0)).alias("of"), F.when(own, hash_of("digest", F.ceil(F.col("size") / block).cast("long"))).otherwise(hash_of("part", F.greatest(F.ceil(F.col("rest") / block).cast("long"), F.lit(1)))).alias("block"))
-    cut = materialise(cut, "cut")
-    cells = cut.select("root", F.struct("own", "of", "block").alias("cell")).distinct()
-    x, y = (cells.withColumnRenamed("cell", n) for n in "xy")
-    pairs = x.join(y, "root").filter("x <= y and not (x.own and y.own and x.of = y.of)")
-    of_cell = pairs.select("root", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("cell"))
-    second = cut.withColumn("cell", F.struct("own", "of", "block")).join(of_cell, ["root", "cell"]).groupBy("root", "x", "y").applyInArrow(compare, "a long, b long")
-    return found.union(second)
-
-
-def keep_similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, segments: int = 4, radius: int = 8, seeds: int = 8, block: int = 512) -> DataFrame:
-    """docs without near copies: of each group the row with the least id stays, with all its columns.
-
-    Two texts are linked if the Jaccard similarity of their sets of shingles is `similarity` or more, counted exactly;
-    texts without words are alike. Candidates are the components of what is within `radius` bits for any seed; all
-    pairs of a component are compared, so fingerprints never decide that a text goes, only which texts are compared.
-    Null ids come last; of rows with the same id one stays, chosen by place.
-    """
-    rows, clash = placed(docs, id_col)
-    names = [f"fp{i}" for i in range(seeds)]
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            signed = np.array([signature(shingle_set(t, shingle), seeds) for t in as_bytes(b.column(1))], np.int64).reshape(-1, seeds + 1)
-            yield batch(["doc_id", "digest", *names], b.column(0), *(pa.array(c) for c in signed.T.copy()))
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = pa.array([shingle_set(t, shingle).tobytes() for t in as_bytes(b.column(3))], pa.binary())
-            yield batch(["root", "n", "digest", "shingles"], b.column(0), b.column(1), b.column(2), sets)
-
-    texts = rows.select(F.col(PLACE).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = materialise(map_batches(texts, sign, ", ".join(f"{n} long" for n in ["doc_id", "digest", *names])), "signatures")
-    first = with_given(found, rows, clash, id_col).groupBy("digest", "fp0").agg(F.min(F.struct(F.col("given").isNull().alias("last"), "given", F.col("doc_id").alias("place"))).alias("first"))
-    rooted = materialise(first.join(grouped(found, segments, radius), "fp0").select("digest", "root", "first"), "rooted")
-    several = rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
-    members = rooted.join(several, "root").select("root", "n", "digest", F.col("first.place").alias("doc_id"))
-    sets = materialise(map_batches(texts.join(members, "doc_id").select("root", "n", "digest", "text"), shingles, "root long, n long, digest long, shingles binary"), "shingles")
-    group = components(similar_links(sets, similarity, block)).select(F.col("node").alias("digest"), F.col("root").alias("group"))
-    stay = rooted.join(group, "digest", "left").groupBy(F.coalesce("group", "digest").alias("group")).agg(F.min("first").alias("first")).select(F.col("first.place").alias(PLACE))
-    return rows.join(stay, PLACE, "left_semi").select(docs.columns)
+    named = hub_join(rooted, least, ["root"]).select("fp0", "component_id")
+    return hub_join(found, named, ["fp0"]).select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")

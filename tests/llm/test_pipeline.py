@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from tessella.llm import decontamination, langid, secrets, simhash
+from tessella.llm import decontamination, langid, nearcopies, secrets
 from tests.llm import corpus
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -57,4 +57,4 @@ def test_registered():
 
     names = entry.queries()
     assert "pipeline" in names and [n for n in names if n.startswith("op1_")] and all(any(q.startswith(f"op{i}_") for q in names) for i in range(1, 11))
-    assert all(m for m in (decontamination, langid, secrets, simhash))
+    assert all(m for m in (decontamination, langid, nearcopies, secrets))

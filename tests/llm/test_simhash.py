@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessella.llm import simhash
+from tessella.llm.common import hub_join
 from tests.llm import corpus
 
 
@@ -116,95 +117,13 @@ def test_forest(values, radius):
     assert len(a) == len(fps) - len(set(brute_components(values, radius).values()))
 
 
-@pytest.mark.parametrize("rows", [corpus.rows(), corpus.odd_rows(), []])
-def test_keep_first(spark, rows):
-    df = spark.createDataFrame(rows, corpus.SCHEMA).repartition(3)
-    got = simhash.keep_first(df, seeds=(42,), shingle=4, segments=3, radius=4)
-    assert got.schema == df.schema
-    comp = brute_components([brute_fp(r[1]) for r in rows], 4)
-    groups = {}
-    for r in rows:
-        groups.setdefault(comp[brute_fp(r[1])], []).append(r[0])
-    key = lambda x: (x is not None, x)
-    assert sorted((r.doc_id for r in got.collect()), key=key) == sorted((min(g, key=lambda x: (x is None, x or 0)) for g in groups.values()), key=key)
-
-
-def brute_similar(texts, similarity=0.8, k=5):
-    """{position: the least position of its group} over all pairs."""
-    words = [(t or "").lower().split() for t in texts]
-    sets = [{tuple(w[i : i + k]) for i in range(max(len(w) - k, 0) + 1)} if w else set() for w in words]
-    root = list(range(len(sets)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
+def test_segments_follow_the_count():
+    assert [simhash.segments_for(n, 4) for n in (0, 10**5, 10**8, 10**9, 10**11)] == [3, 3, 3, 2, 2]
 
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if a == sets[j] or len(a & sets[j]) / max(len(a | sets[j]), 1) >= similarity:
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
-    return [find(i) for i in range(len(sets))]
-
-
-def edited(r, base, n):
-    out = list(base)
-    for at in r.sample(range(len(base)), n):
-        out[at] = f"edit{r.randrange(10**6)}"
-    return " ".join(out)
-
-
-def test_keep_similar_holds_the_threshold(spark):
-    """Pairs on both sides of 0.8: fingerprints within 8 bits don't make two texts alike if they share less."""
-    r = random.Random(11)
-    texts = []
-    for _ in range(60):
-        base = [f"w{r.randrange(3000)}" for _ in range(150)]
-        texts += [" ".join(base), edited(r, base, r.choice([1, 2, 3, 4, 5, 6, 7]))]
-    rows = [(i, t) for i, t in enumerate(texts)]
-    root = brute_similar(texts)
-    alone = {i for i in range(len(texts)) if root[i] == i}
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {x.doc_id for x in simhash.keep_similar(df).collect()}
-    assert alone <= got, "no document below the threshold goes"
-    assert len(got - alone) <= 0.1 * (len(texts) - len(alone)), "near copies go"
-    assert not alone <= {x.doc_id for x in simhash.keep_first(df).collect()}, "the fingerprints alone drop others"
-
-
-@pytest.mark.parametrize("block", [512, 6])
-def test_similar_links(spark, block):
-    """All pairs of one root, also where it is cut into blocks."""
-    r = random.Random(7)
-    texts = []
-    for size, most in ((40, 2), (25, 9), (30, 5)):
-        base = [f"w{r.randrange(3000)}" for _ in range(120)]
-        texts += [edited(r, base, r.randint(0, most)) for _ in range(size)]
-    texts = list(dict.fromkeys(texts))
-    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
-    digests = [simhash.signature(x, 0)[0] for x in sets]
-    rows = spark.createDataFrame([(1, len(sets), d, bytearray(x.tobytes())) for d, x in zip(digests, sets)], "root long, n long, digest long, shingles binary").repartition(3)
-    at = {d: i for i, d in enumerate(digests)}
-    root = list(range(len(texts)))
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in simhash.similar_links(rows, 0.8, block, pivots=2).collect():
-        x, y = find(at[a]), find(at[b])
-        root[max(x, y)] = min(x, y)
-    assert [find(i) for i in range(len(texts))] == brute_similar(texts) and len(set(brute_similar(texts))) > 3
-
-
-@pytest.mark.parametrize("rows", [corpus.rows(), corpus.odd_rows(), []])
-def test_keep_similar(spark, rows):
-    df = spark.createDataFrame(rows, corpus.SCHEMA).repartition(3)
-    got = simhash.keep_similar(df, radius=8)
-    assert got.schema == df.schema
-    groups = {}
-    for r, g in zip(rows, brute_similar([x[1] for x in rows])):
-        groups.setdefault(g, []).append(r[0])
-    key = lambda x: (x is not None, x)
-    assert sorted((r.doc_id for r in got.collect()), key=key) == sorted((min(g, key=lambda x: (x is None, x or 0)) for g in groups.values()), key=key)
+def test_hub_join(spark):
+    """Keys with most of the rows are dealt to several tasks; nothing is lost or made twice."""
+    rows = [(1 if i % 3 else i, i) for i in range(9000)]
+    df, one = spark.createDataFrame(rows, "k long, v long"), spark.createDataFrame([(k, k * 2) for k in {k for k, _ in rows if k % 2}], "k long, w long")
+    got = sorted(map(tuple, hub_join(df, one, ["k"]).select("k", "v", "w").collect()))
+    assert got == sorted((k, v, 2 * k) for k, v in rows if k % 2)
