@@ -26,7 +26,6 @@ ALL = [corpus.rows(), corpus.odd_rows(), []]
 
 def plain_ids(text):
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -365,6 +364,7 @@ def leaks(seed=6):
             at = r.randint(0, len(w))
             w[at:at] = x
         docs.append((i, " ".join(w)))
+    docs += [(500 + i, " ".join(items[i][1].split()[: -(i % 4) or None])) for i in range(12)]  # items with their last words cut off
     return [*docs, (None, docs[1][1]), (91, None), (92, ""), (1, docs[1][1])], items
 
 
@@ -377,8 +377,8 @@ def test_decontamination(spark):
         n, k = len(norm(t)), int(len(norm(t)) * 0.2 + 1e-9)
         for d, x in docs:
             w = norm(x)
-            for s in range(len(w) - n + 1) if n >= 5 and i != 100 else ():
-                e = edits(w[s : s + n], norm(t))
+            for s in range(len(w) - n + k + 1) if n >= 5 and i != 100 else ():
+                e = edits(w[s : s + n], norm(t))  # shorter where the text ends
                 if e <= k:
                     expected[d, i] = min(expected.get((d, i), (e, s)), (e, s))
     found = {(r.doc_id, r.item_id): (r.edits, r.start_word) for r in got}
@@ -391,6 +391,48 @@ def test_decontamination(spark):
     assert Counter(r.doc_id for r in kept) == Counter(d for d, _ in docs if not any(d == f[0] for f in found))
 
 
+@pytest.mark.parametrize("n", [5, 15, 38, 59, 100, 160, 240, 400])
+def test_decontamination_recall_by_length(n):
+    """Windows at the threshold are found at the target, whatever their length: replaced words, and dropped and added ones."""
+    r = np.random.default_rng(n)
+    items, k = decontamination.Items(), int(n * 0.2 + 1e-9)
+    rows = [[f"i{i}w{j}".encode() for j in range(n)] for i in range(60)]
+    for i, w in enumerate(rows):
+        items.add(w, i, 1)
+    items.ready()
+    assert items.designs[n] == decontamination.design_for(n, k, 0.98)
+    texts = []
+    for i, w in enumerate(rows):
+        x, moved = list(w), k // 4 if i % 2 else 0
+        for at in r.choice(n, k - 2 * moved, replace=False).tolist():
+            x[at] = b"other"
+        for _ in range(moved):
+            del x[r.integers(len(x))]
+            x.insert(r.integers(len(x) + 1), b"added")
+        texts.append(b" ".join([b"before"] * 9 + x + [b"after"] * 9))
+    found = {(doc, items.rows[m][item][0]) for doc, _, m, item, e in decontamination.matches(texts, items) if e <= k}
+    assert sum((i, i) in found for i in range(60)) >= 0.95 * 60
+    assert all(a == b for a, b in found)
+
+
+def test_decontamination_short_items_and_low_similarity(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "x Paris, y"), (3, "one"), (4, "b a x")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "paris"), (2, "c d"), (3, "a q c w e")], "item_id long, text string")
+    got = lambda **o: sorted((r.doc_id, r.item_id, r.start_word, r.edits) for r in decontamination.contaminated(docs, items, **o).collect())
+    assert got() == []
+    assert got(min_words=1) == [(1, 2, 2, 0), (2, 1, 1, 0)]
+    assert (1, 3, 0, 2) in got(similarity=0.4, recall=0.999)
+
+
+def test_equal_items_are_one_in_any_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "so one two three four five six")], "doc_id long, text string")
+    items = spark.createDataFrame([(3, "One two three, four five"), (2, "one two three four FIVE."), (5, "one  two three four five"), (7, "two three four five six")], "item_id long, text string")
+    for words in (250_000, 1):
+        monkeypatch.setattr(decontamination, "BLOCK_WORDS", words)
+        got = sorted((r.item_id, r.n_items) for r in decontamination.contaminated(docs, items).collect() if r.edits == 0)
+        assert got == [(2, 3), (7, 1)]
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     docs, items = leaks(8)
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
