@@ -1,12 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams in one Arrow pass over a bounded sample of labelled rows and sums them by (language, bucket):
-at most 2**BITS rows for each language reach the driver. Scoring sends the log-probability matrix to the workers once
-and adds up its rows for each document's n-grams, many documents at a time. No shuffle of texts.
+at most 2**BITS rows for each language reach the driver. Scoring sends the log-probability matrix to the workers once.
+There the texts of a batch are one sparse matrix of documents by buckets, in the order in which the n-grams stand, and
+its product with the log-probability matrix is one gather and one sum by document. No shuffle of texts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,28 +35,35 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def features(text: str) -> Iterator[np.ndarray]:
-    """Buckets of a text's n-grams, in chunks: lower-cased letters, all else a word boundary; runs of them count once."""
+def folded(text: str) -> tuple[np.ndarray, bool]:
+    """A text as code points with a space in front: lower-cased letters, all else a word boundary, runs of them once; whether it has a letter."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     is_letter = letters()[codes]
-    codes = np.where(is_letter, codes, 32)
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
-    codes = np.concatenate(([32], codes[keep])).astype(np.uint64)
-    for i in range(0, len(codes), CHUNK):
-        part = codes[i : i + CHUNK + max(GRAMS) - 1]
-        h = np.zeros(len(part), np.uint64)
-        for n in range(1, max(GRAMS) + 1):
-            if len(part) < n:
-                break
-            h = (h[: len(part) - n + 1] + part[n - 1 :] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            if n in GRAMS:
-                yield (h[:CHUNK] >> np.uint64(64 - 16 - BITS) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    return np.concatenate(([32], np.where(is_letter, codes, 32)[keep])).astype(np.uint64), bool(is_letter.any())
+
 
+def grams(codes: np.ndarray, of: np.ndarray | None = None, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, buckets) of the n-grams that begin before place `most`, for each size; none crosses a change of `of`."""
+    h = np.zeros(len(codes), np.uint64)
+    for n in range(1, max(GRAMS) + 1):
+        if len(codes) < n:
+            return
+        h = (h[: len(codes) - n + 1] + codes[n - 1 :] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        if n in GRAMS:
+            at = np.arange(len(h)) if of is None else np.flatnonzero(of[: len(h)] == of[n - 1 :])
+            at = at if most is None else at[:most]
+            yield at, (h[at] >> np.uint64(64 - 16 - BITS) & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
-def has_letter(text: str) -> bool:
-    return any(map(str.isalpha, text))
+
+def features(text: str) -> Iterator[np.ndarray]:
+    """Buckets of a text's n-grams, in chunks."""
+    codes, _ = folded(text)
+    for i in range(0, len(codes), CHUNK):
+        for _, ids in grams(codes[i : i + CHUNK + max(GRAMS) - 1], most=CHUNK):
+            yield ids
 
 
 @dataclass
@@ -63,20 +72,55 @@ class Model:
     log_prob: np.ndarray  # buckets x classes
     prior: np.ndarray
 
-    def score(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
-        """(language, its posterior probability) of each text; `und` and 0 without a letter or a learned language."""
-        out: list[tuple[str, float]] = []
-        for t in texts:
-            text = t.decode("utf-8", "replace") if t else ""
-            if not self.classes or not has_letter(text):
-                out.append((UNKNOWN, 0.0))
+    def totals(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: log probabilities by class, the number of n-grams, and whether it has a letter."""
+        total, n, lettered = np.zeros((len(texts), len(self.classes))), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        held, docs, size = [], [], 0
+
+        def flush() -> None:
+            codes, of = np.concatenate(held), np.repeat(docs, [len(x) for x in held])
+            for at, ids in grams(codes, of):
+                owner = of[at]
+                first = np.flatnonzero(np.concatenate((owner[:1] >= 0, owner[1:] != owner[:-1])))
+                if len(first):
+                    total[owner[first]] += np.add.reduceat(self.log_prob[ids], first, axis=0, dtype=np.float64)
+                    n[owner[first]] += np.diff(np.append(first, len(owner)))
+
+        for i, t in enumerate(texts):
+            codes, lettered[i] = folded(t.decode("utf-8", "replace")) if t else (None, False)
+            if not lettered[i]:
+                continue
+            if len(codes) > CHUNK:  # a very long text by itself, in parts
+                for j in range(0, len(codes), CHUNK):
+                    for _, ids in grams(codes[j : j + CHUNK + max(GRAMS) - 1], most=CHUNK):
+                        total[i] += self.log_prob[ids].sum(0, dtype=np.float64)
+                        n[i] += len(ids)
                 continue
-            total = self.prior.copy()
-            for ids in features(text):
-                total += self.log_prob[ids].sum(0, dtype=np.float64)
-            best = int(total.argmax())
-            out.append((self.classes[best], float(1 / np.exp(total - total[best]).sum())))
-        return out
+            if size + len(codes) > CHUNK and held:
+                flush()
+                held, docs, size = [], [], 0
+            held.append(codes)
+            docs.append(i)
+            size += len(codes)
+        if held:
+            flush()
+        return total, n, lettered
+
+    def score(self, texts: list[bytes | None]) -> list[tuple[str, float, float]]:
+        """(language, its posterior probability, fit) of each text; `und` and 0 without a letter or a learned language.
+
+        The fit is the mean log probability of the text's n-grams in that language, less that of buckets drawn at random:
+        below 0 the language explains the text no better than chance, whatever its share against the other languages.
+        """
+        if not self.classes:
+            return [(UNKNOWN, 0.0, 0.0)] * len(texts)
+        total, n, lettered = self.totals(texts)
+        whole = total + self.prior
+        best = whole.argmax(1)
+        rows = np.arange(len(texts))
+        p = 1 / np.exp(whole - whole[rows, best][:, None]).sum(1)
+        fit = total[rows, best] / np.maximum(n, 1) + math.log(1 << BITS)
+        return [(self.classes[k], x, f) if ok else (UNKNOWN, 0.0, 0.0) for k, x, f, ok in zip(best.tolist(), p.tolist(), fit.tolist(), lettered.tolist())]
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -120,19 +164,24 @@ def predict(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scored = shared.value.score(as_bytes(b.column(2)))
-            yield batch(["doc_id", "held_out", "lang_pred", "score"], b.column(0), b.column(1), pa.array([x for x, _ in scored], pa.string()), pa.array([p for _, p in scored], pa.float64()))
+            yield batch(["doc_id", "held_out", "lang_pred", "score"], b.column(0), b.column(1), pa.array([x for x, _, _ in scored], pa.string()), pa.array([p for _, p, _ in scored], pa.float64()))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string"))
     return map_batches(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text has no letter or no learned language with at least `least` probability."""
+def keep(docs: DataFrame, model: Model, least: float, fit: float = 0.0, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text has no letter, or no learned language with at least `least` probability, or none
+    that explains its n-grams better than chance by more than `fit` (natural log units an n-gram).
+
+    Null and empty texts have no letter and go, and so does every text if no language was learned. Ids aren't read and
+    may be null or repeat; repeated rows stay or go together; an empty table gives no rows; columns of any name stay.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scored = shared.value.score(as_bytes(b.column(at)))
-            yield b.filter(pa.array([lang != UNKNOWN and p >= least for lang, p in scored], pa.bool_()))
+            yield b.filter(pa.array([lang != UNKNOWN and p >= least and f > fit for lang, p, f in scored], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

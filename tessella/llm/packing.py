@@ -4,7 +4,11 @@ Each task packs the documents it reads: no shuffle, and nothing of a document bu
 windows of the longest context are cut off first. What is left is routed to the tier of the least context size that
 holds it. Each tier is packed, the longest first: a sequence starts with a rest of its own tier, and its gap is filled
 from shorter tiers, first by rests that fit, then by cutting one. Rests that fill no sequence end as sequences of a
-power of two, which need no padding. Sequences of a tier are dealt to step groups of equal numbers of tokens.
+power of two, which need no padding.
+
+Step groups are balanced over all tasks: the pieces are written, a task's sequences of each length are counted, and from
+the counts of the tasks before it each sequence gets its place among all of its length. So every group holds sequences of
+one length with the same number of ids; only the last group of a length may hold fewer.
 """
 
 from __future__ import annotations
@@ -15,14 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import as_bytes, batch, map_batches
+from tessella.llm.common import as_bytes, batch, map_batches, materialise
 from tessella.llm.tokens import encoder
 
 TIERS = (256, 512, 1024, 2048)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, size long, place long"
 #: Rests that a task holds before it packs them; each has fewer ids than the longest context.
 PENDING = 8192
 
@@ -32,9 +37,9 @@ Rest = tuple  # (doc_id, start, ids, doc_tokens)
 class Packer:
     """Packs one task's documents; sequences are numbered from `first`."""
 
-    def __init__(self, tiers: tuple[int, ...] = TIERS, first: int = 0, step_tokens: int = 32_768):
-        self.tiers, self.next, self.step = sorted(tiers), first, step_tokens
-        self.first, self.tokens = first, dict.fromkeys(tiers, 0)
+    def __init__(self, tiers: tuple[int, ...] = TIERS, first: int = 0):
+        self.tiers, self.next = sorted(tiers), first
+        self.made: dict[int, int] = {}  # sequences by their number of ids
         self.rests: dict[int, list[Rest]] = {t: [] for t in self.tiers}
         self.held = 0
         self.out: list[tuple] = []
@@ -45,13 +50,13 @@ class Packer:
         self.held += 1
 
     def emit(self, pieces: list[Rest], tier: int) -> None:
-        group = self.first + (self.tiers.index(tier) << 32) + self.tokens[tier] // self.step
-        offset = 0
+        size, offset = sum(len(p[2]) // 4 for p in pieces), 0
+        place = self.made.get(size, 0)
         for doc_id, start, ids, total in pieces:
             n = len(ids) // 4
-            self.out.append((doc_id, start, n, zlib.crc32(ids), total, self.next, offset, tier, group))
+            self.out.append((doc_id, start, n, zlib.crc32(ids), total, self.next, offset, tier, size, place))
             offset += n
-        self.tokens[tier] += tier
+        self.made[size] = place + 1
         self.next += 1
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -112,18 +117,18 @@ class Packer:
             left -= size
 
     def rows(self) -> pa.RecordBatch:
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        names = [x.split()[0] for x in PIECES.split(", ")]
         out, self.out = self.out, []
         return batch(names, *(pa.array(list(c), pa.int64()) for c in (zip(*out) if out else [()] * len(names))))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = 32_768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of a document: where it begins in the document, its length and the sequence it lies in.
 
     `offset` is gapless from 0 in each sequence; a sequence has its tier's size in ids, or less where a task's last rests
     end (then a power of two). A null or empty text is a document of its end id alone; ids of rows may be null or
     repeat, each row is packed by itself; an empty table gives no rows. Very long texts are cut into whole windows.
-    `step_group` numbers groups of sequences of one tier with the same number of ids, for balanced training steps.
+    `step_group` numbers groups of sequences of one length, `step_tokens` ids each but for the last group of a length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,4 +142,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...
         packer.flush()
         yield packer.rows()
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")), run, SCHEMA)
+    pieces = materialise(map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")), run, PIECES), "pieces")
+    task = F.shiftright("sequence_id", 36)
+    made = pieces.groupBy(task.alias("task"), "size").agg((F.max("place") + 1).alias("n"))
+    # one row for each task and length
+    before = made.select("task", "size", (F.sum("n").over(Window.partitionBy("size").orderBy("task")) - F.col("n")).alias("before"))
+    sizes = pieces.select("size").distinct().select("size", (F.dense_rank().over(Window.orderBy("size")) - 1).cast("long").alias("class"))  # a few lengths
+    placed = pieces.withColumn("task", task).join(before, ["task", "size"]).join(F.broadcast(sizes), "size")
+    in_group = F.greatest(F.floor(F.lit(step_tokens) / F.col("size")).cast("long"), F.lit(1))  # sequences of a full group
+    group = F.shiftleft("class", 40) + F.floor((F.col("before") + F.col("place")) / in_group).cast("long")
+    return placed.withColumn("step_group", group).select([x.split()[0] for x in SCHEMA.split(", ")])

@@ -185,8 +185,18 @@ def base_spans(text: str) -> list[Span]:
 def spans_of(text: str, grammar: Grammar, known: dict[str, bool] | None = None) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans): the automata add candidates that overlap no base span."""
     base = base_spans(text)
-    taken, added, i = sorted((s, e) for _, s, e in base), [], 0
+    taken: list[list[int]] = []  # the base spans' union
+    for _, s, e in base:
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    added, i = [], 0
     for m in CANDIDATE.finditer(text):
+        while i < len(taken) and taken[i][1] <= m.start():
+            i += 1
+        if i < len(taken) and taken[i][0] < m.end():
+            continue
         if known is not None and len(known) < 1 << 18:
             secret = known.get(m[0])
             if secret is None:
@@ -194,10 +204,7 @@ def spans_of(text: str, grammar: Grammar, known: dict[str, bool] | None = None)
         else:
             secret = grammar.is_secret(m[0])
         if secret:
-            while i < len(taken) and taken[i][1] <= m.start():
-                i += 1
-            if not any(s < m.end() and e > m.start() for s, e in taken[i:]):
-                added.append(("format", m.start(), m.end()))
+            added.append(("format", m.start(), m.end()))
     return base, sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -228,7 +235,11 @@ def scan(docs: DataFrame, grammar: Grammar | None = None, id_col: str = "doc_id"
 
 
 def redact(docs: DataFrame, grammar: Grammar | None = None, mark: str = "[secret]", text_col: str = "text") -> DataFrame:
-    """docs with every span of its texts replaced by a mark (overlapping spans by one); all other columns as they are."""
+    """docs with every span of its texts replaced by a mark (overlapping spans by one); all other columns as they are.
+
+    Null and empty texts stay so. Ids aren't read and may be null or repeat, each row is cleaned by itself; an empty
+    table gives no rows; columns of any name are passed on.
+    """
     grammar = grammar or learn()
 
     def clean(text: str | None, known: dict[str, bool]) -> str | None:

@@ -5,11 +5,14 @@ are encoded once and kept. Before that, A-Z are lower-cased (the tokenizer does
 an ASCII letter and a mark after it (a boundary for the tokenizer anyway), so that fewer different words occur.
 Alphabetic words are encoded many at a time and told apart by the vocabulary's word-end mark; where the number of word
 ends differs from the number of words, they are encoded one by one. So ids are those of the whole text.
+
+A text that holds the string of an added token (an end-of-text mark, say) is encoded whole, with the library's defaults.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -44,8 +47,10 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        added = self.whole.get_added_tokens_decoder().values()
+        self.marks = re.compile(b"|".join(re.escape(t.content.encode()) for t in added) or b"(?!)", re.IGNORECASE)
+        self.tokenizer.encode_special_tokens = True  # for words: lower-casing must not make a special token of one
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.ends = np.zeros(self.size, bool)
@@ -90,6 +95,11 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; a null text has none."""
+        marked = {i: t for i, t in enumerate(texts) if t and self.marks.search(t)}
+        if marked:
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in marked]))
+            whole = {i: np.array(self.whole.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for i, t in marked.items()}
+            return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
         words = [apart(t).split() if t else [] for t in texts]
         new = set().union(*words) - self.cache.keys()
         if len(self.cache) + len(new) > CACHE:

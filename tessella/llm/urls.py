@@ -24,19 +24,31 @@ SCHEMA = "page_id long, host string, path string, rule string, verdict string, s
 #: (verdict, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: The small labelled table: 1 is to be blocked.
+#: The small labelled table, written for this module: 1 is to be blocked (spam, gambling, adult, quick credit, fakes).
 LABELLED = (
-    ("https://spam-farm.example.org/en/1", 1), ("http://spam-farm.example.com/fr/22.html", 1), ("https://www.spam-links.example.org/es/3", 1),
-    ("http://cheap-pills.example.com/buy/now", 1), ("https://best-casino.example.org/bonus/win", 1), ("http://free-casino-bonus.example.com/", 1),
-    ("https://adult-cams.example.org/live/1", 1), ("http://xxx-videos.example.com/watch/12", 1), ("https://payday-loans.example.org/apply?ref=x", 1),
-    ("http://link-farm.example.com/en/88", 1), ("https://click-farm.example.org/de/9", 1), ("http://viagra-cheap.example.org/en/order", 1),
-    ("https://poker-spam.example.com/es/free-bonus", 1), ("https://replica-watches.example.org/sale/cheap", 1), ("http://seo-spam.example.com/en/backlinks", 1),
-    ("https://example.org/en/1", 0), ("https://www.example.com/en/about.html", 0), ("https://blog.example.org/en/2024/05/post", 0),
-    ("http://m.example.com/es/825?page=2", 0), ("https://docs.example.org/en/guide/install", 0), ("https://news.example.com/fr/politique/12", 0),
-    ("https://library.example.org/de/katalog/55", 0), ("https://therin.example.org/en/770", 0), ("http://m.tiontion.example.com/en/82160#top", 0),
-    ("https://blog.tionble.example.com/fr/175140?utm_source=feed", 0), ("https://university.example.org/en/research", 0), ("https://wiki.example.com/en/History", 0),
-    ("https://museum.example.org/es/colección", 0), ("https://garden.example.com/en/soil.html", 0), ("http://ththon.example.com/en/671/", 0),
-    ("https://www.thbleou.example.org/en/9.html", 0), ("https://shop.example.com/en/books/7", 0), ("https://city.example.org/de/rathaus", 0),
+    ("http://online-casino-bonus.test/play", 1), ("https://www.best-poker-room.test/free-bonus", 1), ("http://slots-jackpot.test/win/now", 1),
+    ("https://betting-tips.test/casino/odds?ref=1", 1), ("http://free-spins.test/slots", 1), ("https://casino.city-guide.test/bonus", 1),
+    ("http://cheap-viagra.test/order", 1), ("https://discount-pills.test/buy/viagra", 1), ("http://pharmacy-no-prescription.test/cheap/pills.html", 1),
+    ("https://buy-cialis.test/cheap", 1), ("http://diet-pills.test/lose-weight-fast", 1), ("https://miracle-weight-loss.test/offer", 1),
+    ("http://xxx-cams.test/live", 1), ("https://adult-videos.test/watch/44", 1), ("http://hot-sex-chat.test/", 1),
+    ("https://porn-tube.test/xxx/9", 1), ("http://escort-girls.test/adult", 1), ("https://nude-webcam.test/sex", 1),
+    ("http://payday-loans.test/apply", 1), ("https://instant-cash-loan.test/no-credit-check", 1), ("http://get-rich-quick.test/earn-money-fast", 1),
+    ("https://work-from-home-cash.test/earn/money", 1), ("http://crypto-double.test/free-coins", 1), ("https://forex-signals.test/make-money", 1),
+    ("http://replica-watches.test/sale", 1), ("https://fake-designer-bags.test/replica/cheap", 1), ("http://cracked-software.test/keygen/download", 1),
+    ("https://warez-torrents.test/crack", 1), ("http://link-exchange-spam.test/seo/backlinks", 1), ("https://buy-backlinks.test/seo-farm", 1),
+    ("http://spam.test/click-here", 1), ("https://click-farm.test/traffic", 1), ("http://free-gift-cards.test/claim/prize", 1),
+    ("https://you-won-a-prize.test/claim-now", 1), ("http://spammy-links.test/page?aff=77", 1), ("https://link-farm.test/links/1000", 1),
+    ("https://library.test/catalogue/55", 0), ("https://www.university.test/en/research", 0), ("http://museum.test/exhibitions/2024", 0),
+    ("https://news.test/politics/12.html", 0), ("http://www.gazette.test/local/council-meeting", 0), ("https://weather.test/forecast?city=3", 0),
+    ("https://docs.software.test/guide/install", 0), ("https://wiki.test/wiki/History_of_printing", 0), ("http://forum.gardening.test/thread/8812", 0),
+    ("https://blog.test/2024/05/a-walk-in-the-hills", 0), ("http://m.recipes.test/bread/sourdough", 0), ("https://school.test/timetable.html", 0),
+    ("https://city.test/de/rathaus", 0), ("http://www.mairie.test/fr/horaires", 0), ("https://biblioteca.test/es/libros/7", 0),
+    ("https://zeitung.test/de/kultur/88", 0), ("http://hospital.test/visitors", 0), ("https://journal.test/articles/10/abstract", 0),
+    ("https://shop.test/books/fiction", 0), ("http://bicycle-repair.test/howto/brakes", 0), ("https://orchestra.test/concerts?season=2", 0),
+    ("https://trains.test/departures/12", 0), ("http://archive.test/en/letters/1890", 0), ("https://maths.test/lectures/algebra.pdf", 0),
+    ("https://en.test/en/1", 0), ("http://www.test/es/825?page=2", 0), ("https://garden.test/en/soil.html", 0), ("http://m.test/fr/671/", 0),
+    ("https://farm-museum.test/visit", 0), ("http://bank-holiday-walks.test/en/9", 0), ("https://pillow-makers.test/about", 0), ("http://sussex-birds.test/sightings", 0),
+    ("https://credit-union.test/members", 0), ("http://charity.test/gift-aid", 0), ("https://watchmaker.test/repairs", 0), ("http://data.test/download/table.csv", 0),
 )
 
 
