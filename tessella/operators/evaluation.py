@@ -29,15 +29,30 @@ def gold_set(found: DataFrame, valid: Column, keys: list[str]) -> DataFrame:
     return found.filter(valid).select(*keys).distinct()
 
 
-# Names that are noise whatever else they hold, from their beginning; and shapes that are names.
-NOISE = (r"\d+次", r"[\d.]+%$", r"\d+\.?\d*$", r"[<>≥≤]", r"[A-Z_]{6,}$", r"http://", r"\d+\.\d+\.\d+\.\d+", r"localhost$", r"data$", r"channel$", r"sleep$", r"assert$", r"exclude$", r"Math\.", r"TimeUnit\.", r"\.env\.")
-KEYWORDS = ("API", "HTTP", "REST", "JWT", "Token", "Auth", "Gateway", "Postgres|PostgreSQL", "Dashboard", "Kubernetes", "Docker", "git", "Context", "Rerank", "Embedding", "Hybrid", "Vector", "Semantic", "Cache", "Chunk")
-
-
-def name_class(name: Column, noise: tuple[str, ...] = NOISE, keywords: tuple[str, ...] = KEYWORDS, valid: tuple[str, ...] = ("Status", "Signal", "Steps", "Overview")) -> Column:
+# Names that are noise, names that are valid, and patterns that make a name valid. Names of a few
+# organisations and products of no public standing are left out; callers add what they need.
+NOISE = [
+    r"^\d+分钟$", r"^\d+次", r"^[\d.]+%$", r"^\d+\.?\d*$", r"^[<>≥≤]", r"^K6_", r"^[A-Z_]{6,}$", r"^Google Chrome$", r"^Safari$", r"^360浏览器$",
+    r"^Java 编程方法论", r"^Remove Assignments", r"^Split Variable$", r"^Split Temp$", r"^Episodic$", r"^Procedural$", r"^http://", r"^\d+\.\d+\.\d+\.\d+",
+    r"^sleep$", r"^assert$", r"^candidate\(s\)", r"^data$", r"^channel$", r"^exclude$", r"^Admin@123$", r"^localhost$", r"^\d{5}$", r"^Math\.", r"^TimeUnit\.",
+    r"^fence\.", r"^\.env\.",
+]
+KEYWORDS = [
+    r"KYC", r"Buyer", r"Seller", r"买方", r"卖方", r"Contract", r"WBS", r"ADR", r"DDD", r"CI", r"CD", r"API", r"HTTP", r"REST", r"JWT", r"Token", r"Auth",
+    r"WeCom|WeChat", r"Gateway", r"Postgres|PostgreSQL", r"Dashboard", r"驾驶舱", r"看板", r"Observable", r"RxJava", r"SseEmitter", r"Reactive", r"PagerDuty",
+    r"Grafana", r"Loki", r"Prometheus", r"Kubernetes", r"Docker", r"git", r"openssl", r"cron", r"schedule", r"smoke.test", r"Context", r"Propagation",
+    r"Rerank", r"Embedding", r"Hybrid", r"Vector", r"Semantic", r"Cache", r"Maintenance", r"Verification", r"Summary", r"Trigger", r"i18n", r"spike",
+    r"Bearer", r"Basic Auth", r"Chunk", r"Embedder", r"\w+门禁", r"\w+评审", r"GitHub Actions", r"Docker Compose", r"Long or Volatile", r"Data Flow",
+    r"Value Completeness", r"Feature Completeness",
+]
+VALID_NAMES = ["Status", "Signal", "Preconditions", "Steps", "Overview", "sustainability", "Cancel/Refund", "Standalone"]
+
+
+def name_class(name: Column, noise: list[str] = NOISE, keywords: list[str] = KEYWORDS, valid: list[str] = VALID_NAMES) -> Column:
     """valid or noise: by noise patterns, listed names, keywords, and the shape of an identifier or a short CJK name."""
+    any_of = lambda patterns: name.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns))
     shape = (F.length(name) >= 3) & name.rlike("^[a-zA-Z][a-zA-Z0-9]+$") | F.length(name).between(2, 20) & name.rlike("[一-鿿]")
-    return F.when(name.rlike(r"\A(?:" + "|".join(noise) + ")"), "noise").when(name.isin(*valid) | name.rlike("|".join(keywords)) | shape, "valid").otherwise("noise")
+    return F.when(any_of(noise), "noise").when(name.isin(valid) | any_of(keywords) | shape, "valid").otherwise("noise")
 
 
 def pivot(found: DataFrame, by: str, column: str, values: list[str]) -> DataFrame:

@@ -23,8 +23,8 @@ ENTITY_PATTERNS = (
     ("function", r"(?U)(?:def|fn)\s+(\w+)\s*\("),
     ("module", r"(?U)(?:package|namespace)\s+([\w.]+)"),
     ("module", r"""(?U)(?:module|from)\s+['"]([\w./-]+)['"]"""),
-    ("api", r"""@(?:Get|Post|Put|Delete|Request)Mapping\(["']([^"']+)["']"""),
-    ("api", r"""(?U)(?:router\.(?:get|post|put|delete)|app\.(?:get|post|put|delete))\(['"](/[\w/\{\}]+)['"]"""),
+    ("api", r"""@(?:GetMapping|PostMapping|PutMapping|DeleteMapping|RequestMapping)\(["']([^"']+)["']"""),
+    ("api", r"""(?U)(?:router\.(?:get|post|put|delete)|app\.(?:get|post|put|delete))\(['"](/[\w/{}]+)['"]"""),
     ("variable", r"""(?U)(?:const|let|var)\s+(\w+)\s*=\s*(?:require|import)\s*[( ]["']"""),
     ("variable", r"(?U)(?:private|public|protected)\s+(?:\w+\s+)?(\w+)\s*=\s*new\s+"),
 )

@@ -15,6 +15,8 @@ from tessella.functions.text import cosine, dot, hours_to_days, norm, strip, ter
 K1, B, RRF = 1.2, 0.75, 60
 #: Most rows of a result list; fused lists and what is joined to them are at most a few times as long.
 MOST = 10_000
+#: Links, and relations, of a result list's entities that are held on the driver at most.
+MOST_LINKS = 100_000
 
 
 def scoped(chunks: DataFrame, wing: str | None = None, room: str | None = None, after: str | None = None, before: str | None = None) -> DataFrame:
@@ -41,25 +43,23 @@ def vector_search(rows: DataFrame, query: Sequence[float], k: int = 20, key: str
 def keyword_search(chunks: DataFrame, query: str, k: int = 20, key: str = "chunk_id", text: str = "chunk_text", with_text: bool = True) -> DataFrame:
     """The k chunks with all query words that are best by BM25, ties by id.
 
-    The corpus statistics (chunks, mean length, chunks that have each word) are one row, made by partial aggregation
-    when this is called; texts are not exploded or shuffled.
+    For chunks without an index (see index.Index): two passes over the texts. The corpus statistics (chunks, mean length,
+    chunks that have each word) are one row, made by partial aggregation when this is called; nothing is shuffled.
     """
-    words = sorted({w for w in _words(query)})
+    words = query_words(query)
     if not words:
         return chunks.withColumn("score", F.lit(0.0)).limit(0)
-    counted = chunks.withColumn("__t", terms(F.col(text))).withColumn("__n", F.size("__t"))
-    for i, w in enumerate(words):
-        counted = counted.withColumn(f"__f{i}", F.size(F.filter("__t", _is(w))))
-    # without texts, a row is a few numbers: kept, so that texts are read and split once
-    counted = counted.drop("__t") if with_text else counted.drop("__t", text).cache()
-    stats = counted.agg(F.count("*").alias("total"), F.avg("__n").alias("mean"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"d{i}") for i in range(len(words)))).first()
+    given = chunks.select(F.struct(*chunks.columns).alias("row"), terms(F.col(text)).alias("t"))
+    counted = given.select("row", F.size("t").alias("n"), *(F.size(F.filter("t", _is(w))).alias(f"f{i}") for i, w in enumerate(words)))
+    stats = counted.agg(F.count("*").alias("total"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(words)))).first()
     score = F.lit(0.0)
     for i in range(len(words)):
-        f, d = F.col(f"__f{i}"), stats[f"d{i}"]
+        f, d = F.col(f"f{i}"), stats[f"d{i}"]
         idf = math.log(1 + (stats["total"] - d + 0.5) / (d + 0.5))
-        score = score + F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__n") / F.lit(stats["mean"])))
-    hits = counted.filter(" and ".join(f"__f{i} > 0" for i in range(len(words))))
-    return hits.withColumn("score", score).drop(*(c for c in hits.columns if c.startswith("__"))).orderBy(F.desc("score"), key).limit(k)
+        score = score + F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n") / F.lit(stats["mean"])))
+    hits = counted.filter(" and ".join(f"f{i} > 0" for i in range(len(words))))
+    kept = [c for c in chunks.columns if with_text or c != text]
+    return hits.select(*(F.col("row")[c].alias(c) for c in kept), score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def _is(word: str) -> Callable[[Column], Column]:
@@ -70,6 +70,11 @@ def _words(query: str) -> list[str]:
     return [w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split() if w]
 
 
+def query_words(query: str) -> list[str]:
+    """A query's different words, sorted."""
+    return sorted(set(_words(query)))
+
+
 def listed(results: DataFrame) -> DataFrame:
     """A result list as rows of the plan, so that what uses it more than once does not search again.
 
@@ -81,6 +86,12 @@ def listed(results: DataFrame) -> DataFrame:
     return results.sparkSession.createDataFrame(rows, results.schema)
 
 
+def held(rows: DataFrame, most: int = MOST_LINKS) -> DataFrame:
+    """Rows as part of the plan if there are at most `most`, else as they are: the same rows, made once or each time."""
+    some = rows.limit(most + 1).collect()
+    return rows if len(some) > most else rows.sparkSession.createDataFrame(some, rows.schema)
+
+
 def fuse(vectors: DataFrame, words: DataFrame, k: int = 20, rrf: int = RRF, boost: Column | None = None, key: str = "chunk_id") -> DataFrame:
     """Reciprocal rank fusion of two result lists with `score`; an absent rank is the list's length plus one.
 
@@ -126,22 +137,26 @@ class Request:
     hybrid: bool = True
 
 
-def search(chunks: DataFrame, embeddings: DataFrame, r: Request) -> DataFrame:
-    """Hybrid search, or vector search alone, as the request says; each list is twice as long as the result."""
+def search(chunks: DataFrame, embeddings: DataFrame, r: Request, index=None) -> DataFrame:
+    """Hybrid search, or vector search alone, as the request says; each list is twice as long as the result.
+
+    With an index (index.Index over the same chunks) no text is read.
+    """
     if r.top_k * 2 > MOST:
         raise ValueError("result lists are for reading, not for exports")
-    rows = scoped(chunks, r.wing, r.room, r.after, r.before)
-    places = rows.drop("chunk_text", "token_count")
+    scope = {"wing": r.wing, "room": r.room, "after": r.after, "before": r.before}
+    rows = scoped(chunks, **scope)
+    places = rows.drop("chunk_text", "token_count") if index is None else scoped(index.places, **scope).drop("terms")
     vectors = vector_search(places.join(embeddings.select("chunk_id", "embedding"), "chunk_id"), r.embedding, 2 * r.top_k) if r.embedding is not None else places.withColumn("score", F.lit(0.0)).limit(0)
     if not r.hybrid:
         return vectors.limit(r.top_k)
-    words = keyword_search(rows, r.query, 2 * r.top_k, with_text=False).drop("token_count")
+    words = keyword_search(rows, r.query, 2 * r.top_k, with_text=False).drop("token_count") if index is None else index.keyword_search(r.query, 2 * r.top_k, **scope)
     return fuse(listed(vectors), listed(words), r.top_k, boost=recency(r.now, r.recent_days, r.recent_weight) if r.temporal_boost else None)
 
 
-def wake(chunks: DataFrame, embeddings: DataFrame, query: str, embedding: Sequence[float], hours: int = 48, wing: str | None = None, now: str = "2024-01-31 00:00:00") -> DataFrame:
+def wake(chunks: DataFrame, embeddings: DataFrame, query: str, embedding: Sequence[float], hours: int = 48, wing: str | None = None, now: str = "2024-01-31 00:00:00", index=None) -> DataFrame:
     """What to know after so many hours: ten results with recent ones favoured."""
-    return search(chunks, embeddings, Request(query, embedding, 10, wing, temporal_boost=True, recent_days=hours // 24 + 1, now=now))
+    return search(chunks, embeddings, Request(query, embedding, 10, wing, temporal_boost=True, recent_days=hours // 24 + 1, now=now), index)
 
 
 def rerank(results: DataFrame, query: str, scorer: Callable[[str, list[str]], list[float] | None], k: int, passages: int = 10, chars: int = 200) -> DataFrame:
@@ -150,6 +165,7 @@ def rerank(results: DataFrame, query: str, scorer: Callable[[str, list[str]], li
     A scorer that fails or answers for another number of passages leaves the order as it is.
     """
     order = Window.orderBy(F.desc("score"), "chunk_id")
+    results = listed(results)  # at most MOST rows
     first = results.withColumn("place", F.row_number().over(order)).withColumn("passage", F.substring("chunk_text", 1, chars))
 
     def run(frames):
@@ -163,7 +179,6 @@ def rerank(results: DataFrame, query: str, scorer: Callable[[str, list[str]], li
             pdf["rerank"] = 0.0
         yield pdf[["chunk_id", "place", "rerank", "score"]]
 
-    # a result list: at most MOST rows in one task
     return first.select("chunk_id", "place", "passage", "score").coalesce(1).mapInPandas(run, "chunk_id long, place int, rerank double, score double").orderBy(F.desc("rerank"), "place").limit(k)
 
 
@@ -173,14 +188,16 @@ def word_overlap(query: str, passages: list[str]) -> list[float]:
     return [10 * len(q & set(_words(p))) / max(1, len(q)) for p in passages]
 
 
-def page_rank(vertices: DataFrame, edges: DataFrame, iterations: int = 3, damping: float = 0.85) -> DataFrame:
+def page_rank(vertices: DataFrame, edges: DataFrame, iterations: int = 3, damping: float = 0.85, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """(id, rank) after some rounds over undirected distinct neighbours; the base is 1 - damping, the start 1 / N.
 
-    Vertices without neighbours get the base. Each round is a join and a sum by vertex.
+    Vertices without neighbours get the base. Each round is a join and a sum by vertex. `keep` writes a table and reads
+    it back, so that the edges are made once.
     """
     near = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).filter("a <> b")
     near = near.union(near.select("b", "a")).distinct()
-    near = near.join(vertices.select(F.col("id").alias("a")), "a", "left_semi").join(vertices.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b").cache()  # read in every round; what is lost is made again
+    near = near.join(vertices.select(F.col("id").alias("a")), "a", "left_semi").join(vertices.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+    near = near if keep is None else keep(near, "near")  # read in every round
     degree = near.groupBy("a").agg(F.count("*").alias("degree"))
     n = vertices.agg(F.count("*").alias("n"))
     rank = vertices.select("id").crossJoin(F.broadcast(n)).select("id", (1 / F.col("n")).alias("rank"))
@@ -192,9 +209,16 @@ def page_rank(vertices: DataFrame, edges: DataFrame, iterations: int = 3, dampin
 
 
 def propagate(results: DataFrame, links: DataFrame, relations: DataFrame, k: int, entity: float = 0.3, relation: float = 0.2, iterations: int = 3, damping: float = 0.85) -> DataFrame:
-    """Results (chunk_id, score) re-scored by the entities they share: links (chunk_id, entity), relations (source, target)."""
+    """Results (chunk_id, score) re-scored by the entities they share: links (chunk_id, entity), relations (source, target).
+
+    Only the links of the result's chunks and the relations among their entities are read on; where those are few, they
+    are put into the plan as rows.
+    """
     results = listed(results)
-    own = links.join(F.broadcast(results.select("chunk_id")), "chunk_id", "left_semi").select("chunk_id", "entity").distinct().cache()  # the entities of a result list
+    own = held(links.filter(F.col("chunk_id").isin([r["chunk_id"] for r in results.select("chunk_id").collect()])).select("chunk_id", "entity").distinct())
+    ids = own.select("entity").distinct()
+    among = relations.select("source", "target").join(ids.withColumnRenamed("entity", "source"), "source", "left_semi").join(ids.withColumnRenamed("entity", "target"), "target", "left_semi").distinct()
+    relations = held(among)
     shared = own.groupBy("entity").agg(F.countDistinct("chunk_id").alias("n"))
     boosts = own.join(shared, "entity").groupBy("chunk_id").agg(F.max(1 + (F.col("n") - 1) * 0.1).alias("boost"))
     ranks = page_rank(shared.select(F.col("entity").alias("id")), relations, iterations, damping)

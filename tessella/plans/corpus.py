@@ -24,6 +24,7 @@ grp AS (SELECT *, unnest(range(0, CAST((len(l) - 1) // 5 + 1 AS BIGINT))) AS g F
 raw AS (SELECT page_id, wing, room, created_at, g, regexp_replace(array_to_string(l[g * 5 + 1 : g * 5 + 5], chr(10)), '^\s+|\s+$', '', 'g') AS chunk_text FROM grp),
 chunks AS (SELECT page_id * 1000000 + row_number() OVER (PARTITION BY page_id ORDER BY g) - 1 AS chunk_id, page_id, wing, room, created_at, row_number() OVER (PARTITION BY page_id ORDER BY g) - 1 AS chunk_index, g * 5 + 1 AS start, chunk_text, length(chunk_text) // 4 + 1 AS token_count FROM raw WHERE chunk_text <> '')"""
 )
+CHUNKS_IN_SCOPE = CHUNKS.replace("chunks AS (", "every_chunk AS (") + f", chunks AS (SELECT * FROM every_chunk WHERE wing = 'en' AND created_at >= TIMESTAMP '{AFTER}' AND created_at < TIMESTAMP '{BEFORE}')"
 EMBEDDED = "emb AS (SELECT vec_id * 1000000 AS chunk_id, vec_id AS page_id, embedding FROM embeddings)"
 QUERY_VECTOR = "q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0)"
 VECTORS = f"{EMBEDDED}, {QUERY_VECTOR}, vec AS (SELECT c.chunk_id, c.page_id, c.wing, c.room, c.created_at, c.chunk_index, list_cosine_similarity(e.embedding::DOUBLE[], q.qv::DOUBLE[]) AS score FROM chunks c JOIN emb e USING (chunk_id), q)"
@@ -63,7 +64,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 def stats_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return catalog.totals(c.pages, c.chunks, c.embeddings.join(c.pages.select("page_id"), "page_id", "left_semi"))
+    return catalog.totals(c.pages, c.stored_chunks, c.embeddings.join(c.pages.select("page_id"), "page_id", "left_semi"))
 
 
 def list_wings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,7 @@ def list_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return catalog.page_list(c.pages, c.chunks, "src3", limit=20, offset=5)
+    return catalog.page_list(c.pages, c.stored_chunks, "src3", limit=20, offset=5)
 
 
 def wing_room_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,36 +161,54 @@ def migrated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_topk(spark: SparkSession, sf_dir: str, wing: str | None = None, after: str | None = None, before: str | None = None) -> DataFrame:
     c = corpus(spark, sf_dir)
-    out = search.search(c.chunks, c.embeddings, Request("", query_vector(c), 20, wing, after=after, before=before, hybrid=False))
+    out = search.search(c.stored_chunks, c.embeddings, Request("", query_vector(c), 20, wing, after=after, before=before, hybrid=False), c.index)
     return rounded(out.select("chunk_id", "wing", "room", "score"), "score")
 
 
 def keyword_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(corpus(spark, sf_dir).index.keyword_search(WORDS, 20).select("chunk_id", "wing", "room", "score"), "score")
+
+
+def keyword_bm25_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without an index."""
     return rounded(search.keyword_search(corpus(spark, sf_dir).chunks, WORDS, 20, with_text=False).select("chunk_id", "wing", "room", "score"), "score")
 
 
+def keyword_bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(corpus(spark, sf_dir).index.keyword_search(WORDS, 20, wing="en", after=AFTER, before=BEFORE).select("chunk_id", "wing", "room", "score"), "score")
+
+
 def keyword_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus(spark, sf_dir).chunks.withColumn("t", X.terms(F.col("chunk_text")))
-    return rows.filter(F.forall(F.array(F.lit("the"), F.lit("of")), lambda w: F.array_contains("t", w))).groupBy("wing").agg(F.count("*").alias("chunks"))
+    return corpus(spark, sf_dir).index.matching(WORDS).groupBy("wing").agg(F.count("*").alias("chunks"))
+
+
+def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index holds: chunks and occurrences of each term."""
+    return corpus(spark, sf_dir).index.postings.groupBy("term").agg(F.count("*").alias("chunks"), F.sum("n").alias("occurrences"))
 
 
 def _hybrid(**given) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = corpus(spark, sf_dir)
-        out = search.search(c.chunks, c.embeddings, Request(WORDS, query_vector(c), 20, now=NOW, **given))
+        out = search.search(c.stored_chunks, c.embeddings, Request(WORDS, query_vector(c), 20, now=NOW, **given), c.index)
         return rounded(out.select("chunk_id", "wing", "room", F.col("rv").cast("long").alias("rv"), F.col("rw").cast("long").alias("rw"), "score"), "score", digits=9)
 
     return run
 
 
+def with_text(c: Corpus, results: DataFrame) -> DataFrame:
+    """The texts of a result list's chunks: a short list, sent to where the texts are."""
+    return c.stored_chunks.select("chunk_id", "chunk_text").join(F.broadcast(search.listed(results)), "chunk_id")
+
+
 def wake_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return rounded(search.wake(c.chunks, c.embeddings, WORDS, query_vector(c), 48, now=NOW).select("chunk_id", "score"), "score", digits=9)
+    return rounded(search.wake(c.stored_chunks, c.embeddings, WORDS, query_vector(c), 48, now=NOW, index=c.index).select("chunk_id", "score"), "score", digits=9)
 
 
 def rerank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    best = search.keyword_search(c.chunks, WORDS, 20).select("chunk_id", "chunk_text", "score")
+    best = with_text(c, c.index.keyword_search(WORDS, 20)).select("chunk_id", "chunk_text", "score")
     return rounded(search.rerank(best, WORDS, search.word_overlap, 10).select("chunk_id", F.col("place").cast("long").alias("place"), "rerank"), "rerank")
 
 
@@ -202,8 +221,8 @@ def vector_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    best = search.keyword_search(c.chunks, WORDS, 20)
-    return best.select("chunk_id", X.preview(F.col("chunk_text"), 150).alias("preview"), X.highlight(F.substring("chunk_text", 1, 60), WORDS).alias("marked"), X.first_of(F.lit(""), F.col("room")).alias("label"), F.round("score", 3).alias("score"))
+    best = with_text(c, c.index.keyword_search(WORDS, 20))
+    return best.select("chunk_id", X.preview(F.col("chunk_text"), 150).alias("preview"), F.md5(X.highlight(F.col("chunk_text"), WORDS)).alias("marked"), X.first_of(F.lit(""), F.col("room")).alias("label"), F.round("score", 3).alias("score"))
 
 
 def _top(source: str, where: str = "", columns: str = "chunk_id, wing, room, round(score, 6) AS score", k: int = 20) -> str:
@@ -213,7 +232,7 @@ def _top(source: str, where: str = "", columns: str = "chunk_id, wing, room, rou
 QUERIES = {
     "stats_global": stats_global, "list_wings": list_wings, "list_rooms": list_rooms, "list_pages": list_pages, "wing_room_rollup": wing_room_rollup, "wing_top_rooms": wing_top_rooms, "upsert_latest": upsert_latest, "delete_cascade": delete_cascade, "facts_as_of": facts_as_of,
     "chunk_lines": chunk_lines, "chunk_stride": chunk_stride, "chunk_turns": chunk_turns, "chunk_markdown": _by_strategy("markdown"), "chunk_code": _by_strategy("code"), "chunk_plain": _by_strategy("plain"), "chunk_dispatch": chunk_dispatch, "token_estimate": token_estimate, "detect_strategy": detect_strategy, "path_parts": path_parts, "migrated_pages": migrated_pages,
-    "vector_topk": vector_topk, "vector_topk_wing": lambda s, d: vector_topk(s, d, wing="en"), "vector_topk_time": lambda s, d: vector_topk(s, d, after=AFTER, before=BEFORE), "keyword_bm25": keyword_bm25, "keyword_match_all": keyword_match_all, "hybrid_rrf": _hybrid(), "hybrid_rrf_recent": _hybrid(temporal_boost=True, recent_days=14), "wake_context": wake_context, "rerank_scores": rerank_scores, "vector_ivf": vector_ivf, "result_preview": result_preview,
+    "vector_topk": vector_topk, "vector_topk_wing": lambda s, d: vector_topk(s, d, wing="en"), "vector_topk_time": lambda s, d: vector_topk(s, d, after=AFTER, before=BEFORE), "keyword_bm25": keyword_bm25, "keyword_bm25_scan": keyword_bm25_scan, "keyword_bm25_scoped": keyword_bm25_scoped, "index_postings": index_postings, "keyword_match_all": keyword_match_all, "hybrid_rrf": _hybrid(), "hybrid_rrf_recent": _hybrid(temporal_boost=True, recent_days=14), "wake_context": wake_context, "rerank_scores": rerank_scores, "vector_ivf": vector_ivf, "result_preview": result_preview,
 }
 
 _digest = "SELECT doc_id, chunk_index, start, length(x) // 4 + 1 AS token_count, md5(x) AS digest FROM "
@@ -232,6 +251,11 @@ ORACLES = {
     "chunk_turns": "SELECT conv_id, turn // 4 AS chunk_index, count(*) AS n_turns, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS digest, length(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) // 4 + 1 AS token_count FROM conversations GROUP BY ALL",
     "token_estimate": "SELECT doc_id, length(text) // 4 + 1 AS tokens FROM documents",
     "keyword_bm25": f"WITH {CHUNKS}, {BM25} {_top('bm')}",
+    "keyword_bm25_scan": f"WITH {CHUNKS}, {BM25} {_top('bm')}",
+    "keyword_bm25_scoped": f"WITH {CHUNKS_IN_SCOPE}, {BM25} {_top('bm')}",
+    "index_postings": f"WITH {CHUNKS}, {TERMS} SELECT term, count(DISTINCT chunk_id) AS chunks, count(*) AS occurrences FROM (SELECT chunk_id, unnest(t) AS term FROM tok) GROUP BY term",
+    "result_preview": f"WITH {CHUNKS}, {BM25} SELECT chunk_id, translate(substr(chunk_text, 1, 150), chr(10), ' ') AS preview, md5(regexp_replace(chunk_text, '(?i)(the|of)', '<em>\\1</em>', 'g')) AS marked, room AS label, round(score, 3) AS score FROM (SELECT * FROM bm ORDER BY score DESC, chunk_id LIMIT 20) JOIN (SELECT chunk_id, chunk_text FROM chunks) USING (chunk_id)",
+    "rerank_scores": f"WITH {CHUNKS}, {BM25}, best AS (SELECT chunk_id, chunk_text, row_number() OVER (ORDER BY score DESC, chunk_id) AS place FROM (SELECT * FROM bm ORDER BY score DESC, chunk_id LIMIT 20) JOIN (SELECT chunk_id, chunk_text FROM chunks) USING (chunk_id)), scored AS (SELECT chunk_id, place, CASE WHEN place > 10 THEN 1.0::DOUBLE ELSE round(len(list_intersect(['the', 'of'], regexp_split_to_array(lower(substr(chunk_text, 1, 200)), '[^\\p{{L}}\\p{{N}}]+'))) / 2.0::DOUBLE, 6) END AS rerank FROM best) SELECT * FROM scored ORDER BY rerank DESC, place LIMIT 10",
     "keyword_match_all": f"WITH {CHUNKS}, {TERMS} SELECT wing, count(*) AS chunks FROM tok WHERE list_contains(t, 'the') AND list_contains(t, 'of') GROUP BY wing",
     "vector_topk": f"WITH {CHUNKS}, {VECTORS} {_top('vec')}",
     "vector_topk_wing": f"WITH {CHUNKS}, {VECTORS} {_top('vec', 'WHERE wing = ' + chr(39) + 'en' + chr(39))}",

@@ -20,7 +20,23 @@ STAR_SQL = """star AS (SELECT 'c' || c_custkey AS source, 'n' || c_nationkey AS
 
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.mentions(corpus(spark, sf_dir).chunks)
+    return graph.mentions(corpus(spark, sf_dir).stored_chunks)
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored entities: (name, mentions, chunks, type)."""
+    found = lambda: _mentions(spark, sf_dir).groupBy("name").agg(F.count("*").alias("mentions"), F.countDistinct("chunk_id").alias("chunks")).withColumn("type", graph.kind_of(F.col("name")))
+    return corpus(spark, sf_dir).store("entities", lambda: found().sort("name"))
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored links: (chunk_id, name, relevance), sorted by chunk, so that few chunks are few row groups."""
+    return corpus(spark, sf_dir).store("links", lambda: graph.links(_mentions(spark, sf_dir)).sort("chunk_id"))
+
+
+def _adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored relations: (source, target, weight), sorted by source."""
+    return corpus(spark, sf_dir).store("relations", lambda: graph.adjacent(_mentions(spark, sf_dir)).sort("source"))
 
 
 def star(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,15 +130,15 @@ def fuzzy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mentions(spark, sf_dir).groupBy("name").agg(F.count("*").alias("mentions"), F.countDistinct("chunk_id").alias("chunks")).withColumn("type", graph.kind_of(F.col("name")))
+    return _names(spark, sf_dir)
 
 
 def graph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(graph.links(_mentions(spark, sf_dir)), "relevance")
+    return rounded(_linked(spark, sf_dir), "relevance")
 
 
 def graph_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.adjacent(_mentions(spark, sf_dir))
+    return _adjacent(spark, sf_dir)
 
 
 def graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +159,7 @@ def bulk_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_stats_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.type_counts(_mentions(spark, sf_dir).select("name").distinct().withColumn("type", graph.kind_of(F.col("name"))))
+    return graph.type_counts(_names(spark, sf_dir))
 
 
 def graph_top_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,16 +171,14 @@ def star_top_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = graph_entities(spark, sf_dir).select("name", "type")
-    return graph.with_chunk_counts(graph.find(e, "TION", limit=15), graph_links(spark, sf_dir), most=1000)
+    e = _names(spark, sf_dir).select("name", "type")
+    return graph.with_chunk_counts(graph.find(e, "TION", limit=15), _linked(spark, sf_dir), most=1000)
 
 
 def entity_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir)
-    found = graph.mentions(c.chunks)
-    e = found.select("name").distinct().withColumn("type", graph.kind_of(F.col("name")))
-    name = graph.top_degrees(graph.adjacent(found), 1).first()["id"]
-    return graph.detail(e, graph.adjacent(found), graph.links(found), c.chunks, name, 5).groupBy("part").agg(F.count("*").alias("rows"))
+    c, relations = corpus(spark, sf_dir), _adjacent(spark, sf_dir)
+    name = graph.top_degrees(relations, 1).first()["id"]
+    return graph.detail(_names(spark, sf_dir), relations, _linked(spark, sf_dir), c.stored_chunks, name, 5)
 
 
 def relations_of_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +188,7 @@ def relations_of_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(graph.related_chunks(graph.links(_mentions(spark, sf_dir)), 0, 20), "relevance")
+    return rounded(graph.related_chunks(_linked(spark, sf_dir), 0, 20), "relevance")
 
 
 def subgraph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,8 +204,7 @@ def subgraph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _mentions(spark, sf_dir)
-    return rounded(graph.neighbours(found.select("name").distinct(), graph.adjacent(found), graph.links(found)), "radius")
+    return rounded(graph.neighbours(_names(spark, sf_dir), _adjacent(spark, sf_dir), _linked(spark, sf_dir)), "radius")
 
 
 def pagerank3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,9 +215,8 @@ def pagerank3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def propagate_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    found = graph.mentions(c.chunks)
-    results = search.search(c.chunks, c.embeddings, search.Request(WORDS, query_vector(c), 20)).select("chunk_id", "score")
-    out = search.propagate(results, graph.links(found).select("chunk_id", F.col("name").alias("entity")), graph.adjacent(found), 20)
+    results = search.search(c.stored_chunks, c.embeddings, search.Request(WORDS, query_vector(c), 20), c.index).select("chunk_id", "score")
+    out = search.propagate(results, _linked(spark, sf_dir).select("chunk_id", F.col("name").alias("entity")), _adjacent(spark, sf_dir), 20)
     return rounded(out.select("chunk_id", "score", "boost", "mean", "combined"), "score", "boost", "mean", "combined")
 
 
@@ -233,19 +245,18 @@ def filter_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _mentions(spark, sf_dir)
-    return hygiene.edge_entities(found.select("name").distinct(), graph.links(found), 3, 50)
+    return hygiene.edge_entities(_names(spark, sf_dir).select("name"), _linked(spark, sf_dir), 3, 50)
 
 
 def enrich_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return hygiene.context(graph.links(graph.mentions(c.chunks)), c.chunks).select("name", F.md5("context").alias("digest"))
+    return hygiene.context(_linked(spark, sf_dir), c.stored_chunks).select("name", F.md5("context").alias("digest"))
 
 
 def enrich_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    contexts = hygiene.context(graph.links(graph.mentions(c.chunks)), c.chunks)
-    return hygiene.enrich(contexts, lambda name, text: f"{name} in {len(text.split())} words").groupBy().agg(F.count("*").alias("described"))
+    contexts = hygiene.context(_linked(spark, sf_dir), c.stored_chunks)
+    return hygiene.enrich(contexts, lambda name, text: f"{name} in {len(text)} characters")
 
 
 def merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,45 +36,69 @@ STRATEGIES = {
     "lines": [".cfg", ".ini", ".conf", ".log"],
 }
 
-# Names that no extractor returns.
-RESERVED = "void int string boolean long double true false null this return if else for while class function import export default extend implements throws new type extends".split()
-GENERIC = "system data function code file text information content value method class object name type thing stuff part item path list array map set view module api concept entity service component config model utils helper util common base abstract".split()
-STOP_ENTITIES = """data info information content text file code name type value key id list map set array object class method function field property
-result response request input output status config configuration setting option param parameter item tag label title desc description summary index node path url
-uri link ref reference system service module component util utils helper api rest soap json xml yaml yml sql string integer boolean long double float byte char
-short void exception throwable serialversionuid logger log autowired inject resource override deprecated suppresswarnings test before after setup teardown todo
-fixme hack xxx note""".split()
-FIELD_TYPES = "int long double float boolean string void list set map integer byte short char object".split()
+# Words that are no names of code.
+RESERVED = [
+    "void", "int", "string", "boolean", "long", "double", "true", "false", "null", "this", "return", "if", "else", "for", "while", "class",
+    "function", "import", "export", "default", "extend", "implements", "throws", "new", "type", "extends",
+]
+# Names that say nothing.
+GENERIC = [
+    "system", "data", "function", "code", "file", "text", "information", "content", "value", "method", "class", "object", "name", "type", "thing",
+    "stuff", "part", "item", "path", "list", "array", "map", "set", "view", "module", "api", "concept", "entity", "service", "component", "config",
+    "model", "utils", "helper", "util", "common", "base", "abstract",
+]
+# Entities that are pruned.
+STOP_ENTITIES = [
+    "data", "info", "information", "content", "text", "file", "code", "name", "type", "value", "key", "id", "list", "map", "set", "array", "object",
+    "class", "method", "function", "field", "property", "result", "response", "request", "input", "output", "status", "config", "configuration",
+    "setting", "option", "param", "parameter", "item", "tag", "label", "title", "desc", "description", "summary", "index", "node", "path", "url",
+    "uri", "link", "ref", "reference", "system", "service", "module", "component", "util", "utils", "helper", "api", "rest", "soap", "json", "xml",
+    "yaml", "yml", "sql", "string", "integer", "boolean", "long", "double", "float", "byte", "char", "short", "void", "exception", "throwable",
+    "serialversionuid", "logger", "log", "autowired", "inject", "resource", "override", "deprecated", "suppresswarnings", "test", "before", "after",
+    "setup", "teardown", "todo", "fixme", "hack", "xxx", "note",
+]
+# Types of fields that give no relation.
+FIELD_TYPES = [
+    "int", "long", "double", "float", "boolean", "string", "void", "list", "set", "map", "integer", "byte", "short", "char", "object",
+]
 
-# Name -> the name it stands for.
-ALIASES = {
-    alias: canonical
-    for canonical, names in {
-        "kycapplication": "kyc kycapplication kyc_application kycapplicationservice",
-        "kyc": "客户身份识别 kyc认证",
-        "user": "user 用户 userinfo user_info",
-        "auth": "auth authentication 认证 授权",
-        "permission": "permission 权限 permissions",
-        "role": "role 角色 roles",
-        "order": "order 订单 trade 交易",
-        "position": "position 持仓 positions",
-        "margin": "margin 保证金 margins",
-        "settlement": "settlement 结算 清算",
-        "config": "config configuration 配置 cfg",
-        "service": "service services",
-        "dao": "dao repository repositories mapper",
-        "dto": "dto vo request response command query",
-    }.items()
-    for alias in names.split()
+# A name, and what stands for it.
+SYNONYMS = {
+    "kyc": ["kyc", "kycapplication", "kyc_application", "客户身份识别", "kyc认证"],
+    "kycapplication": ["kycapplication", "kyc_application", "kyc", "kycapplicationservice"],
+    "user": ["user", "用户", "userinfo", "user_info"],
+    "auth": ["auth", "authentication", "认证", "授权"],
+    "permission": ["permission", "权限", "permissions"],
+    "role": ["role", "角色", "roles"],
+    "order": ["order", "订单", "trade", "交易"],
+    "position": ["position", "持仓", "positions"],
+    "margin": ["margin", "保证金", "margins"],
+    "settlement": ["settlement", "结算", "清算"],
+    "config": ["config", "configuration", "配置", "cfg"],
+    "service": ["service", "services"],
+    "dao": ["dao", "repository", "repositories", "mapper"],
+    "dto": ["dto", "vo", "request", "response", "command", "query"],
 }
-CAMEL_STOP = "get set is has to of in on at by for with from data info base abstract utils util helper common core".split()
-SUFFIXES = "service impl dto vo dao mapper repository controller config utils request response command query entity model pojo po bo".split()
+#: alias -> name; of names that share an alias the last one counts.
+ALIASES = {alias: name for name, aliases in SYNONYMS.items() for alias in aliases}
+# Parts of camel-case names that say nothing, and endings that a canonical name loses.
+CAMEL_STOP = [
+    "get", "set", "is", "has", "to", "of", "in", "on", "at", "by", "for", "with", "from", "data", "info", "base", "abstract", "utils", "util",
+    "helper", "common", "core",
+]
+SUFFIXES = [
+    "service", "impl", "dto", "vo", "dao", "mapper", "repository", "controller", "config", "utils", "request", "response", "command", "query",
+    "entity", "model", "pojo", "po", "bo",
+]
 
 # File kinds of the content classifier.
 CLASS_EXTENSIONS = {
-    "code": ".c .cpp .go .h .java .js .jsx .kt .php .py .rb .rs .swift .ts .tsx .vue".split(),
-    "docs": ".adoc .md .rst .txt .wiki".split(),
-    "config": ".cfg .conf .gradle .ini .properties .sql .toml .xml .yaml .yml".split(),
-    "log": ".err .log .out".split(),
-    "skip": ".a .class .dll .dylib .gif .gz .ico .jar .jpg .lock .map .min.css .min.js .o .pickle .pkl .png .pyc .pyo .so .svg .tar .ttf .war .woff .zip".split(),
-}
+    "code": [".java", ".py", ".vue", ".js", ".ts", ".jsx", ".tsx", ".go", ".rs", ".rb", ".php", ".kt", ".swift", ".c", ".cpp", ".h"],
+    "docs": [".md", ".rst", ".txt", ".adoc", ".wiki"],
+    "config": [".xml", ".yml", ".yaml", ".sql", ".properties", ".conf", ".gradle", ".toml", ".ini", ".cfg"],
+    "log": [".log", ".out", ".err"],
+    "skip": [
+        ".lock", ".min.js", ".min.css", ".map", ".svg", ".png", ".jpg", ".gif", ".ico", ".woff", ".ttf", ".zip", ".tar", ".gz", ".jar", ".war", ".class", ".o",
+        ".a", ".so", ".dll", ".dylib", ".pyc", ".pyo", ".pkl", ".pickle",
+    ],
+}

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.text import token_estimate
 from tessella.operators.chunking import chunk_lines
+from tessella.operators.index import Index
+from tessella.sources.store import stored
 
-#: Chunks that a page may have: a chunk's id is its page's id times this, plus its index.
+#: A chunk's id is its page's id times this, plus its index; a page of more chunks is refused (see chunk_id).
 CHUNKS_IN_PAGE = 1_000_000
 
 
+def chunk_id(page: Column, index: Column) -> Column:
+    """Ids that never meet: the query fails on a page of more than CHUNKS_IN_PAGE chunks."""
+    return F.when(index < CHUNKS_IN_PAGE, page * CHUNKS_IN_PAGE + index).otherwise(F.raise_error(F.lit("a page of more than CHUNKS_IN_PAGE chunks")).cast("long"))
+
+
 @dataclass
 class Corpus:
     """Views on the documents: language is the wing, source the room; texts carry no time, so an hour each is given."""
@@ -33,7 +40,19 @@ class Corpus:
     @property
     def chunks(self) -> DataFrame:
         out = chunk_lines(self.pages, "text", self.max_lines)
-        return out.select((F.col("page_id") * CHUNKS_IN_PAGE + F.col("chunk_index")).alias("chunk_id"), "page_id", "wing", "room", "created_at", "chunk_index", "chunk_text", "token_count")
+        return out.select(chunk_id(F.col("page_id"), F.col("chunk_index")).alias("chunk_id"), "page_id", "wing", "room", "created_at", "chunk_index", "chunk_text", "token_count")
+
+    def store(self, name: str, make: Callable[[], DataFrame], partition: tuple[str, ...] = (), of: tuple[str, ...] = ("documents",)) -> DataFrame:
+        """A table made of the folder's tables `of`, written once."""
+        return stored(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in of], f"{name}-{self.max_lines}", make, partition)
+
+    @property
+    def stored_chunks(self) -> DataFrame:
+        return self.store("chunks", lambda: self.chunks)
+
+    @property
+    def index(self) -> Index:
+        return Index.over(self.stored_chunks, self.store)
 
     @property
     def embeddings(self) -> DataFrame:
@@ -52,6 +71,3 @@ def migrate(pages: DataFrame, chunks: DataFrame, wing_room) -> tuple[DataFrame,
     moved = pages.withColumn("place", wing_room(F.col("source_path"))).select("*", F.col("place.wing").alias("wing"), F.col("place.room").alias("room")).drop("place")
     return moved, chunks.join(moved.select(F.col("id").alias("page_id")), "page_id", "left_semi")
 
-
-def with_tokens(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("token_count", token_estimate(F.col("chunk_text")))

@@ -14,7 +14,7 @@ from tessella.functions.text import stem, strategy, strip
 from tessella.operators.chunking import chunk_texts
 
 # What a scan takes without patterns, and the folders that it passes over.
-EXTENSIONS = "md mdx markdown txt py java js ts vue jsx tsx go rs sql yaml yml json xml toml html css sh".split()
+EXTENSIONS = ["md", "mdx", "markdown", "txt", "py", "java", "js", "ts", "vue", "jsx", "tsx", "go", "rs", "sql", "yaml", "yml", "json", "xml", "toml", "html", "css", "sh"]
 IGNORED = ("node_modules", "target", "dist", ".git", "__pycache__", ".venv", "venv")
 
 
