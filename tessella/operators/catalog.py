@@ -27,9 +27,19 @@ def wings(pages: DataFrame, all_wings: DataFrame | None = None) -> DataFrame:
     return counted if all_wings is None else all_wings.join(counted, "wing", "left").fillna(0, ["rooms", "pages"])
 
 
-def rooms(pages: DataFrame, wing: str | None = None) -> DataFrame:
-    rows = pages if wing is None else pages.filter(F.col("wing") == wing)
-    return rows.groupBy("wing", "room").agg(F.count("*").alias("pages"))
+def rooms(pages: DataFrame, wing: str | None = None, all_rooms: DataFrame | None = None) -> DataFrame:
+    """(wing, room, pages); rooms without pages only if `all_rooms` names them."""
+    inside = lambda df: df if wing is None else df.filter(F.col("wing") == wing)
+    counted = inside(pages).groupBy("wing", "room").agg(F.count("*").alias("pages"))
+    return counted if all_rooms is None else inside(all_rooms).join(counted, ["wing", "room"], "left").fillna(0, ["pages"])
+
+
+def joined(chunks: DataFrame, pages: DataFrame, rooms: DataFrame, wings: DataFrame) -> DataFrame:
+    """Stored chunks with their page's, room's and wing's names, over the four stored tables; rooms and wings are small."""
+    p = pages.select(F.col("id").alias("page_id"), "room_id", "slug", "source_path", F.col("created_at").alias("page_created_at"))
+    r = rooms.select(F.col("id").alias("room_id"), "wing_id", F.col("name").alias("room"))
+    w = wings.select(F.col("id").alias("wing_id"), F.col("name").alias("wing"))
+    return chunks.join(p, "page_id").join(r, "room_id").join(w, "wing_id").drop("room_id", "wing_id")
 
 
 def page_list(pages: DataFrame, chunks: DataFrame, room: str, limit: int = 100, offset: int = 0) -> DataFrame:

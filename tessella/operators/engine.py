@@ -7,6 +7,9 @@ what fails for a batch is tried for each text by itself, and a text that fails a
 from __future__ import annotations
 
 import hashlib
+import hmac
+import os
+import time
 from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import intelligence_of, speed_of
+from tessella.operators import search
 
 Driver = Callable[[list[str]], list[Any]]
 
@@ -87,6 +91,23 @@ class Engine:
                 return known[n]
         raise LookupError(f"no healthy model for {capability}")
 
+    def profile(self, name: str, golden: Sequence[tuple[str, Sequence[str]]]) -> dict:
+        """A model's profile by probing its extractor: share of texts with half of their names found, and mean latency."""
+        hits, times = 0, []
+        for text, names in golden:
+            began = time.perf_counter()
+            found = answers(self.drivers["extract"][name], [text], [], 1)[0]
+            times.append((time.perf_counter() - began) * 1000)
+            hits += 2 * len(set(found) & set(names)) >= len(set(names))
+        return {"name": name, "confidence": hits / max(1, len(golden)), "avg_latency_ms": sum(times) / max(1, len(times)), "probe_count": 1}
+
+    def get(self, capability: str, golden: Sequence[tuple[str, Sequence[str]]], known: dict[str, dict]) -> dict:
+        """The profile of the capability's first healthy model: a known one, else by probing, which makes it known."""
+        for name in self.drivers.get(capability, {}):
+            if self.healthy(name):
+                return known.setdefault(name, self.profile(name, golden) if name not in known else {})
+        raise LookupError(f"no healthy model for {capability}")
+
     def call(self, df: DataFrame, capability: str, text: str, output: str, kind: str, neutral: Any, name: str | None = None, batch: int = 16) -> DataFrame:
         """df with a column of answers of a SQL type; texts stay in the tasks that hold them."""
         driver = self.driver(capability, name)
@@ -146,6 +167,50 @@ class QueryCache:
         return {"size": len(self.kept), "hits": self.hits, "misses": self.misses, "hit_rate": round(self.hits / calls, 3) if calls else 0.0}
 
 
+def command(chunks: DataFrame, embeddings: DataFrame, index, request, driver: Driver, links: DataFrame | None = None, relations: DataFrame | None = None, scorer=None, cache: QueryCache | None = None) -> DataFrame:
+    """A whole search: the query's vector, both lists fused, reranked if a scorer is given, spread over the graph if one is.
+
+    Rows have the last step's score as `score` and the chunk's text; `links` are (chunk_id, entity), `relations` (source,
+    target). A reranked result's score is the scorer's; equal ones keep their order.
+    """
+    from dataclasses import replace
+
+    vector = (cache or QueryCache()).get(request.query, driver)
+    found = search.listed(search.search(chunks, embeddings, replace(request, embedding=list(vector)), index))
+    if scorer is not None:
+        texts = chunks.select("chunk_id", "chunk_text").join(F.broadcast(found), "chunk_id")
+        ranked = search.rerank(texts, request.query, scorer, request.top_k)
+        found = search.listed(ranked.select("chunk_id", F.col("rerank").alias("score")))
+    if links is not None:
+        found = search.propagate(found.select("chunk_id", "score"), links, relations, request.top_k).select("chunk_id", F.col("combined").alias("score"))
+    best = F.broadcast(search.listed(found.select("chunk_id", "score")))
+    return chunks.select("chunk_id", "page_id", "wing", "room", "chunk_text").join(best, "chunk_id").orderBy(F.desc("score"), "chunk_id")
+
+
+@dataclass
+class Access:
+    """Who may ask: a token if access is guarded, from the settings or the environment; an agent is kept to its wing."""
+
+    enabled: bool = False
+    token: str = ""
+    variable: str = "TESSELLA_TOKEN"
+
+    def allows(self, given: str | None) -> bool:
+        wanted = self.token or os.environ.get(self.variable, "")
+        return not self.enabled or bool(wanted) and hmac.compare_digest((given or "").removeprefix("Bearer ").encode(), wanted.encode())
+
+    def request(self, request, agent_id: str | None = None, token: str | None = None):
+        """The request with the agent's wing as its scope; refused without the right token, or for another agent's wing."""
+        from dataclasses import replace
+
+        if not self.allows(token):
+            raise PermissionError("a valid token is needed")
+        wing = wing_of_agent(agent_id, request.wing)
+        if agent_id and wing and wing.startswith("agent-") and wing != f"agent-{agent_id}":
+            raise PermissionError("an agent's memory is its own")
+        return replace(request, wing=wing)
+
+
 def wing_of_agent(agent_id: str | None, wing: str | None = None) -> str | None:
     """The wing that an agent's requests are kept to, unless they name one."""
     return wing or (f"agent-{agent_id}" if agent_id else None)

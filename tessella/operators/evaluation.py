@@ -71,5 +71,16 @@ def overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return rows.agg(F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"))
 
 
-def latency(timings: DataFrame, by: str) -> DataFrame:
-    return timings.groupBy(by).agg(F.count("*").alias("n"), F.avg("ms").alias("avg_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"))
+def latency(timings: DataFrame, *by: str) -> DataFrame:
+    """Number, mean, least and greatest of timings (ms) by some columns: a query's, or whether a cache was cold."""
+    return timings.groupBy(*by).agg(F.count("*").alias("n"), F.avg("ms").alias("avg_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"))
+
+
+def sample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """n rows that look random, the same in every run: those with the least hash of seed and key."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
+def first_chunks(chunks: DataFrame, n: int = 100, min_chars: int = 80) -> DataFrame:
+    """The first chunks by page and index that are longer than some characters."""
+    return chunks.filter(F.length("chunk_text") > min_chars).orderBy("page_id", "chunk_index").limit(n)

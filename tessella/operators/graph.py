@@ -34,7 +34,13 @@ def kind_of(name: Column) -> Column:
     return F.when(name.endswith("er"), "class").when(name.endswith("ing"), "function").otherwise("concept")
 
 
-def build(chunks: DataFrame, extracted: DataFrame, inferred: DataFrame, resolve, min_chars: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+def eligible(chunks: DataFrame, min_chars: int = 80, most: int | None = None) -> DataFrame:
+    """Chunks that extraction looks at: longer than some characters; with `most`, the first so many by id."""
+    rows = chunks.filter(F.length("chunk_text") > min_chars)
+    return rows if most is None else rows.orderBy("chunk_id").limit(most)
+
+
+def build(chunks: DataFrame, extracted: DataFrame, inferred: DataFrame, resolve, min_chars: int = 80, most: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entities (id, name, type), links (entity_id, chunk_id, relevance) and relations (source_id, target_id, type, weight).
 
     `extracted` has (chunk_id, ord, name, type), `inferred` (chunk_id, source, target, type, weight), `resolve` maps a
@@ -42,9 +48,9 @@ def build(chunks: DataFrame, extracted: DataFrame, inferred: DataFrame, resolve,
     know are classes as sources and modules as targets; edges with an empty end are dropped; of edges given more than
     once the last chunk's weight stays.
     """
-    eligible = chunks.filter(F.length("chunk_text") > min_chars).select("chunk_id")
-    found = extracted.join(eligible, "chunk_id", "left_semi").withColumn("name", resolve(F.col("name")))
-    edges = inferred.join(eligible, "chunk_id", "left_semi").filter("source <> '' and target <> ''")
+    looked_at = eligible(chunks, min_chars, most).select("chunk_id")
+    found = extracted.join(looked_at, "chunk_id", "left_semi").withColumn("name", resolve(F.col("name")))
+    edges = inferred.join(looked_at, "chunk_id", "left_semi").filter("source <> '' and target <> ''")
     ends = edges.select("chunk_id", F.lit(1 << 30).alias("ord"), F.col("source").alias("name"), F.lit("class").alias("type")).unionByName(edges.select("chunk_id", F.lit((1 << 30) + 1).alias("ord"), F.col("target").alias("name"), F.lit("module").alias("type")))
     entities = first_types(found.select("chunk_id", "ord", "name", "type").unionByName(ends), ["chunk_id", "ord"]).select(F.xxhash64("name").alias("id"), "name", "type")
     linked = found.select(F.xxhash64("name").alias("entity_id"), "chunk_id").distinct().withColumn("relevance", F.lit(1.0))
@@ -79,6 +85,29 @@ def relations_of(relations: DataFrame, entity, direction: str = "both") -> DataF
     return relations.filter({"outgoing": out, "incoming": into, "both": out | into}[direction])
 
 
+def listing(entities: DataFrame, kind: str | None = None, limit: int = 100, offset: int = 0, key: str = "id") -> DataFrame:
+    """Entities by id, of one type if wanted: a page of the list."""
+    rows = entities if kind is None else entities.filter(F.col("type") == kind)
+    return rows.orderBy(key).offset(offset).limit(limit)
+
+
+def lookup(entities: DataFrame, value, key: str = "name") -> DataFrame:
+    """The entity of a name or an id; no row if there is none."""
+    return entities.filter(F.col(key) == value).limit(1)
+
+
+def of_chunks(linked: DataFrame, chunk_ids) -> DataFrame:
+    """(chunk_id, name, relevance) of some chunks' entities, the most relevant first within a chunk: all chunks at once."""
+    rows = linked.filter(F.col("chunk_id").isin(list(chunk_ids)))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("relevance"), "name")))
+
+
+def relink(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Links (entity_id, chunk_id, relevance) after incoming ones (also seq): the last relevance of a link overwrites it."""
+    rows = existing.withColumn("seq", F.lit(None).cast("long")).unionByName(incoming.withColumn("seq", F.col("seq").cast("long")))
+    return rows.groupBy("entity_id", "chunk_id").agg(F.max_by("relevance", F.struct(F.col("seq").isNotNull(), "seq")).alias("relevance"))
+
+
 def find(entities: DataFrame, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
     """Entities whose name holds the query in any case (with % and _ as wildcards), the shortest names first."""
     rows = entities.filter(F.col("name").ilike(f"%{query}%"))

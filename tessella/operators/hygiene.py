@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -73,6 +74,25 @@ def enrich(contexts: DataFrame, describe: Callable[[str, str], str], least: int
     return contexts.select("name", "context").mapInPandas(run, "name string, description string").filter(F.length(F.trim("description")) > least)
 
 
+def learn_from_graph(entities: DataFrame, links: DataFrame, chunks: DataFrame, extract: Callable[[DataFrame], DataFrame], n: int = 200, most: int = 3, texts: int = 2, mode: str = "regex", modes: Sequence[str] = tuple(schema.MODE_WEIGHTS)) -> DataFrame:
+    """Verdicts on entities (name, type) with few links: each is looked for again in some of its chunks.
+
+    `extract` gives (chunk_id, name) of chunks (chunk_id, chunk_text). Entities without chunks get no verdict; a name that
+    is found again has the vote of `mode` among the available `modes`, one that is not found anywhere a score of 0.
+    """
+    picked = edge_entities(entities.select("name", "type"), links, most, n).filter("links > 0")
+    near = links.join(F.broadcast(picked), "name").withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("chunk_id"))).filter(F.col("place") <= texts)  # n names at most
+    read = chunks.select("chunk_id", "chunk_text").join(F.broadcast(near.select("chunk_id").distinct()), "chunk_id")
+    again = extract(read).select("chunk_id", "name").distinct().withColumn("again", F.lit(True))
+    looked = near.select("chunk_id", "name", "type").join(again, ["chunk_id", "name"], "left")
+    detections = looked.select("name", "type", F.lit(mode).alias("mode"), F.coalesce("again", F.lit(False)).alias("found"), F.col("chunk_id").alias("seq"))
+    found = consensus(detections, modes)
+    every = F.array(*(F.lit(m) for m in sorted(modes)))
+    missed = detections.groupBy("name").agg(F.first("type").alias("type"), F.max("found").alias("any")).filter("not any")
+    none = missed.select("name", "type", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("confirmed_by"), every.alias("rejected_by"), status_of(F.lit(0.0)).alias("status"))
+    return found.unionByName(none)
+
+
 def merge_weight(mode: Column) -> Column:
     return rank_of(mode, schema.MERGE_WEIGHTS, schema.DEFAULT_WEIGHT)
 
@@ -107,7 +127,7 @@ def fusion(entities: DataFrame, resolve: Callable[[Column], Column], places: Dat
     """
     named = entities.withColumn("canonical", F.lower(resolve(F.col("name"))))
     if places is not None:
-        wide = named.join(places, "id").groupBy("canonical").agg(F.countDistinct("wing").alias("wings")).filter("wings > 1")
+        wide = named.select("id", "canonical").join(places, "id").groupBy("canonical").agg(F.countDistinct("wing").alias("wings")).filter("wings > 1")
         named = named.join(wide, "canonical", "left_semi")
     first = F.min(F.struct(rank_of(F.col("type"), schema.TYPE_PRIORITY, 5).alias("p"), F.col("id").alias("id"))).alias("first")
     keepers = named.groupBy("canonical").agg(first, F.count("*").alias("n")).filter("n >= 2").select("canonical", F.col("first.id").alias("keeper"))
@@ -126,6 +146,21 @@ def fuse(entities: DataFrame, links: DataFrame, relations: DataFrame, mapping: D
     return entities.join(mapping.select("id"), "id", "left_anti"), linked, fused
 
 
+def timed_fusion(entities: DataFrame, links: DataFrame, relations: DataFrame, resolve: Callable[[Column], Column], places: DataFrame | None = None, dry_run: bool = False) -> tuple[dict, tuple[DataFrame, DataFrame, DataFrame]]:
+    """A scheduled fusion: what it did (duplicates, rows before and after, milliseconds), and the three tables after it.
+
+    A dry run tells what would be done and leaves the tables as they are.
+    """
+    began = time.perf_counter()
+    mapping = fusion(entities, resolve, places)
+    after = fuse(entities, links, relations, mapping)
+    report = {"duplicates": mapping.count()}
+    for name, old, new in zip(("entities", "links", "relations"), (entities, links, relations), after):
+        report[f"{name}_before"], report[f"{name}_after"] = old.count(), new.count()
+    report["runtime_ms"] = (time.perf_counter() - began) * 1000
+    return report, (entities, links, relations) if dry_run else after
+
+
 def sparse_noise(entities: DataFrame, links: DataFrame, least: int = 2) -> DataFrame:
     """(id, name, links, reason) of entities with few links whose names say nothing."""
     counted = links.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("links"))

@@ -76,7 +76,7 @@ def rolling(calls: DataFrame) -> DataFrame:
 
 def ewma(calls: DataFrame, alpha: float = 0.1) -> DataFrame:
     """(model, ewma) of entity counts from 0, in call order: a sum weighted by the number of calls that followed."""
-    after = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("seq"))) - 1
+    after = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("seq"))) - 1  # a few numbers a call, sorted within a model's task
     weighted = calls.withColumn("w", alpha * F.pow(F.lit(1 - alpha), after) * F.col("entities").cast("double"))
     return weighted.groupBy("model").agg(F.sum("w").alias("ewma"))
 
@@ -88,6 +88,28 @@ def rates(calls: DataFrame) -> DataFrame:
     return out.withColumns({"error_anomaly": many, "json_anomaly": bad})
 
 
+def suspicious(calls: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """(model, latency, entities, errors, json, suspicious): which rules hold after a model's last call.
+
+    Latency doubled over the window of 20 (10 calls at least); the running mean of entities below 0.5 after 10 calls; more
+    than a tenth of errors after 20; more than a fifth of bad JSON after 10.
+    """
+    last = rolling(calls).groupBy("model").agg(F.max_by("doubled", "seq").alias("latency"))
+    r = rates(calls).join(ewma(calls, alpha), "model").join(last, "model")
+    out = r.select("model", "latency", ((F.col("calls") >= 10) & (F.col("ewma") < 0.5)).alias("entities"), F.col("error_anomaly").alias("errors"), F.col("json_anomaly").alias("json"))
+    return out.withColumn("suspicious", F.col("latency") | F.col("entities") | F.col("errors") | F.col("json"))
+
+
+def from_config(configs: DataFrame) -> DataFrame:
+    """Profiles of configured models (name, driver, capabilities: comma-separated, intelligence, cost_tier, speed_tier, avg_latency_ms).
+
+    What is not given is as for a model of medium speed and low cost; a speed tier stands for a latency.
+    """
+    given = configs.withColumns({"speed_tier": F.coalesce("speed_tier", F.lit("medium")), "cost_tier": F.coalesce("cost_tier", F.lit("low")), "intelligence": F.coalesce("intelligence", F.lit("medium"))})
+    listed = F.transform(F.split(F.coalesce("capabilities", F.lit("")), ","), F.trim)
+    return with_latency(given.withColumn("capabilities", F.filter(listed, lambda x: x != "")))
+
+
 def backoff(calls: int, first: int = 50, most: int = 400) -> list[int]:
     """Calls after which a model is probed again: the wait doubles up to a limit."""
     out, wait, at = [], first, 0

@@ -75,12 +75,13 @@ def _literal(x: object) -> str:
 _sql = {"long": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE", "array<string>": "VARCHAR[]"}
 
 
+def values(columns: str, rows: list[tuple]) -> str:
+    """Rows as a SELECT."""
+    parts = [c.split() for c in columns.split(", ")]
+    cast = ", ".join(f"CAST({c} AS {_sql[t]}) AS {c}" for c, t in parts)
+    return f"SELECT {cast} FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + f") AS t({', '.join(c for c, _ in parts)})"
+
+
 def cte(*names: str) -> str:
     """WITH entries that hold the fixtures."""
-    out = []
-    for name in names:
-        columns, rows = TABLES[name]
-        parts = [c.split() for c in columns.split(", ")]
-        cast = ", ".join(f"CAST({c} AS {_sql[t]}) AS {c}" for c, t in parts)
-        out.append(f"{name} AS (SELECT {cast} FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + f") AS t({', '.join(c for c, _ in parts)}))")
-    return ",\n".join(out)
+    return ",\n".join(f"{name} AS ({values(*TABLES[name])})" for name in names)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +10,10 @@ from tessella.plans.corpus import CHUNKS, PAGES, corpus
 from tessella.plans.fixtures import TABLES, cte, frame
 from tessella.sources import files
 from tessella.sources.corpus import hierarchy
+from tessella.sources.store import scratch
 from tessella.streaming import events as streams
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see; a temporary one only where the cluster names none."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()).rstrip('/')}/ingest-{uuid.uuid4().hex}"
-
-
 def mine_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = [(f"src/f{i}{ext}", text) for i, ext, text in TABLES["fx_code"][1]]
     return files.mined(files.inline(spark, documents)).select("path", "strategy", "slug", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("token_count").cast("long").alias("token_count"))
@@ -61,7 +54,7 @@ def described(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream of files: each batch is chunked and appended under its number, so a repeated one replaces itself."""
-    folder = shared_folder(spark)
+    folder = scratch(spark, "ingest")
     docs = spark.readStream.schema("doc_id long, text string, lang string, source string, n_chars long").parquet(f"{sf_dir}/document[s].parquet")
 
     def upsert(batch: DataFrame, number: int) -> None:

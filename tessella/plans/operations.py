@@ -164,7 +164,7 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_observer(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.readStream.schema(streams.EVENTS).parquet(EVENT_FILES.format(sf_dir))
-    rows = e.select(F.col("user_id").cast("string").alias("model"), F.col("event_id").alias("seq"), F.col("value").alias("latency_ms"), (F.col("event_type") != "error").alias("success"), F.pmod("event_id", F.lit(7)).cast("double").alias("entities"))
+    rows = e.select(F.col("user_id").cast("string").alias("model"), F.col("event_id").alias("seq"), F.col("value").alias("latency_ms"), (F.col("event_type") != "error").alias("success"), F.pmod("event_id", F.lit(7)).cast("double").alias("entities"), (F.pmod("event_id", F.lit(5)) != 0).alias("json_valid"))
     return rounded(streams.drain(streams.observe(rows), "update").groupBy("model").agg(*(F.max_by(c, "calls").alias(c) for c in ("errors", "ewma", "recent_ms")), F.max("calls").alias("calls")), "ewma", "recent_ms")
 
 

@@ -78,7 +78,14 @@ PROFILE = "name string, driver string, base_url string, capabilities map<string,
 
 
 def profiles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PROFILE).option("multiLine", "true").json(path)
+    """Model profiles: JSON files of one profile each, or of one a line."""
+    return spark.read.schema(PROFILE).json(path)
+
+
+def save_profiles(rows: DataFrame, path: str) -> None:
+    """Writes profiles, one a line; columns that a profile does not have are left out."""
+    known = [f.name for f in rows.sparkSession.createDataFrame([], PROFILE).schema]
+    rows.select(*(c for c in rows.columns if c in known)).write.mode("overwrite").json(path)
 
 
 @dataclass

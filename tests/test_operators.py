@@ -309,11 +309,14 @@ def test_profiles(spark, tmp_path):
 
 
 def test_observer_stream(spark, tmp_path):
-    rows = [("m", i, 10.0 if i < 60 else 100.0, i % 10 != 0, 1.0) for i in range(120)]
-    spark.createDataFrame(rows, "model string, seq long, latency_ms double, success boolean, entities double").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("model string, seq long, latency_ms double, success boolean, entities double").parquet(f"{tmp_path}/in")
-    got = streams.drain(streams.observe(stream), "update").collect()
-    assert [(r.calls, r.errors, r.recent_ms, r.before_ms, r.probe) for r in got] == [(120, 12, 100.0, 100.0, True)]
+    fields = "model string, seq long, latency_ms double, success boolean, entities double, json_valid boolean"
+    rows = [("m", i, 10.0 if i < 60 else 100.0, i % 10 != 0, 1.0, True) for i in range(120)] + [("few", i, 10.0, True, 0.1, True) for i in range(12)] + [("fine", i, 10.0, True, 3.0, True) for i in range(30)]
+    spark.createDataFrame(rows, fields).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(fields).parquet(f"{tmp_path}/in")
+    got = {r.model: r for r in streams.drain(streams.observe(stream), "update").collect()}
+    r = got["m"]
+    assert (r.calls, r.errors, r.recent_ms, r.before_ms, r.probe, r.bad_json) == (120, 12, 100.0, 100.0, True, 0)
+    assert not r.suspicious and got["few"].suspicious and not got["fine"].suspicious, "a tenth of errors is not more than a tenth"
 
 
 def test_schemas(spark):
@@ -349,3 +352,138 @@ def test_probe(spark):
     times = spark.createDataFrame([("m", 50.0), ("n", 20000.0)], "model string, ms double")
     got = {r.model: (r.accuracy, r.intelligence, r.speed_tier) for r in engine.probe(samples, found, times).collect()}
     assert got == {"m": (0.5, "high", "fast"), "n": (0.0, "low", "batch")}
+
+
+# stored tables, index, access, commands
+
+
+def test_store_follows_its_files(spark, tmp_path):
+    from tessella.sources import store
+
+    made, path = [], f"{tmp_path}/t.parquet"
+
+    def table():
+        def make():
+            made.append(1)
+            return spark.read.parquet(path)
+
+        return store.stored(spark, [path], "test-table", make).count()
+
+    spark.range(5).write.parquet(path)
+    assert (table(), table(), len(made)) == (5, 5, 1)
+    spark.range(7).write.mode("overwrite").parquet(path)
+    assert (table(), len(made)) == (7, 2), "changed files make the table anew"
+
+
+def test_scratch_needs_a_shared_folder(monkeypatch):
+    from tessella.sources import store
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+
+    with pytest.raises(ValueError):
+        store.shared_folder(Cluster)
+    Cluster.sparkContext.master = "local[4]"
+    assert store.shared_folder(Cluster).startswith("file:")
+
+
+def test_append_and_joined(spark, tmp_path):
+    from tessella.sources import store
+
+    path = f"{tmp_path}/pages"
+    store.append(spark.createDataFrame([(1, 9, "a")], "id long, room_id long, slug string"), path, schema.PAGES)
+    out = store.append(spark.createDataFrame([(2, 9, "b")], "id long, room_id long, slug string"), path, schema.PAGES)
+    assert sorted(r.id for r in out.collect()) == [1, 2] and all(r.created_at is not None and r.title is None for r in out.collect())
+    rooms, wings = spark.createDataFrame([(9, 5, "r")], "id long, wing_id long, name string"), spark.createDataFrame([(5, "w")], "id long, name string")
+    chunks = spark.createDataFrame([(10, 1), (11, 1), (12, 3)], "chunk_id long, page_id long")
+    assert sorted((r.chunk_id, r.wing, r.room, r.slug) for r in catalog.joined(chunks, out, rooms, wings).collect()) == [(10, "w", "r", "a"), (11, "w", "r", "a")]
+
+
+def test_index_equals_the_scan(spark):
+    from tessella.operators.index import Index
+
+    rows = [(i, i // 3, "en" if i % 2 else "de", f"r{i % 3}", f"2024-01-{i % 28 + 1:02d} 00:00:00", i % 3, t) for i, t in enumerate(["the cat of the house", "The, THE dog", "of all", "", "the of the of", "Épée of the été", "a the b of c of d of"] * 6)]
+    df = spark.createDataFrame(rows, "chunk_id long, page_id long, wing string, room string, created_at string, chunk_index int, chunk_text string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    index = Index.over(df, lambda name, make, partition: make(), buckets=4)
+    for query, scope in (("the of", {}), ("OF the, of", {"wing": "en"}), ("été", {}), ("the of", {"after": "2024-01-05", "before": "2024-01-20", "room": "r1"}), ("nothing here", {}), ("", {}), ("dog", {"wing": "nl"})):
+        scan = search.keyword_search(search.scoped(df, **scope), query, 5).collect()
+        assert [(r.chunk_id, round(r.score, 9)) for r in index.keyword_search(query, 5, **scope).collect()] == [(r.chunk_id, round(r.score, 9)) for r in scan]
+
+
+def test_keyword_search_keeps_columns(spark):
+    df = spark.createDataFrame([(1, "the of", 5, 6)], "chunk_id long, chunk_text string, __n int, __f0 int")
+    row = search.keyword_search(df, "of", 5).first()
+    assert (row["__n"], row["__f0"], row["chunk_text"]) == (5, 6, "the of")
+
+
+def test_command_and_access(spark):
+    rows = [(i, i, "w", "r", None, 0, t) for i, t in enumerate(["alpha beta", "alpha", "beta alpha gamma", "delta"])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, page_id long, wing string, room string, created_at timestamp, chunk_index int, chunk_text string")
+    embed = engine.hashing_embedder(16)
+    vectors = spark.createDataFrame([(i, embed([r[-1]])[0]) for i, r in enumerate(rows)], "chunk_id long, embedding array<double>")
+    from tessella.operators.index import Index
+
+    index = Index.over(chunks, lambda name, make, partition: make())
+    cache = engine.QueryCache()
+    plain = engine.command(chunks, vectors, index, search.Request("alpha beta", top_k=3), embed, cache=cache).collect()
+    assert plain[0].chunk_id == 0 and plain[0].chunk_text == "alpha beta" and cache.misses == 1
+    ranked = engine.command(chunks, vectors, index, search.Request("alpha beta", top_k=3), embed, scorer=search.word_overlap, cache=cache).collect()
+    assert [r.score for r in ranked][:2] == [1.0, 1.0] and cache.hits == 1
+    links = spark.createDataFrame([(0, "e"), (1, "e"), (2, "f")], "chunk_id long, entity string")
+    spread = engine.command(chunks, vectors, index, search.Request("alpha beta", top_k=3), embed, links, spark.createDataFrame([("e", "f")], "source string, target string"), cache=cache).collect()
+    assert {r.chunk_id for r in spread} == {r.chunk_id for r in plain} and spread[0].chunk_id in (0, 1)
+    guard = engine.Access(True, "secret")
+    assert guard.request(search.Request("q"), "a1", "Bearer secret").wing == "agent-a1" and guard.request(search.Request("q", wing="docs"), "a1", "secret").wing == "docs"
+    for agent, wing, token in (("a1", None, "wrong"), ("a1", None, None), ("a1", "agent-b2", "secret")):
+        with pytest.raises(PermissionError):
+            guard.request(search.Request("q", wing=wing), agent, token)
+    assert engine.Access().allows(None) and not engine.Access(True, "", "NO_SUCH_VARIABLE").allows("")
+
+
+def test_registry_probes_once():
+    calls = []
+
+    def extractor(texts):
+        calls.append(texts)
+        return [[w for w in t.split() if w[0].isupper()] for t in texts]
+
+    e = engine.Engine().register("extract", "down", extractor, lambda: False).register("extract", "upper", extractor)
+    known = {}
+    golden = [("Alpha beta", ["Alpha"]), ("gamma", ["Gamma"])]
+    assert e.get("extract", golden, known)["confidence"] == 0.5 and e.get("extract", golden, known)["name"] == "upper" and len(calls) == 2
+    with pytest.raises(LookupError):
+        e.get("embed", golden, known)
+
+
+def test_lists_lookups_samples(spark):
+    e = spark.createDataFrame([(i, f"n{i}", "class" if i % 2 else "api") for i in range(20)], "id long, name string, type string")
+    assert [r.id for r in graph.listing(e, "class", 3, 2).collect()] == [5, 7, 9] and graph.lookup(e, "n4").first()["id"] == 4 and graph.lookup(e, 99, "id").count() == 0
+    a, b = (sorted(r.id for r in evaluation.sample(e, 5, "id", s).collect()) for s in (1, 1))
+    assert a == b and a != sorted(r.id for r in evaluation.sample(e, 5, "id", 2).collect()) and len(a) == 5
+    links = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.4)], "entity_id long, chunk_id long, relevance double")
+    new = spark.createDataFrame([(1, 1, 0.9, 1), (1, 1, 0.7, 2), (3, 1, 0.1, 3)], "entity_id long, chunk_id long, relevance double, seq long")
+    assert sorted(map(tuple, graph.relink(links, new).collect())) == [(1, 1, 0.7), (1, 2, 0.4), (3, 1, 0.1)]
+
+
+def test_fusion_report(spark):
+    e = spark.createDataFrame([(1, "order", "class"), (2, "trade", "api"), (3, "other", "api")], "id long, name string, type string")
+    links = spark.createDataFrame([(1, 7, 1.0), (2, 7, 0.5), (2, 8, 0.5)], "entity_id long, chunk_id long, relevance double")
+    relations = spark.createDataFrame([(1, 2, "uses", 1.0), (2, 3, "uses", 1.0)], "source_id long, target_id long, type string, weight double")
+    for dry in (True, False):
+        report, (entities, _, rel) = hygiene.timed_fusion(e, links, relations, resolution.resolve, dry_run=dry)
+        assert (report["duplicates"], report["entities_after"], report["links_after"], report["relations_after"]) == (1, 2, 2, 1) and report["runtime_ms"] > 0
+        assert entities.count() == (3 if dry else 2) and rel.count() == (2 if dry else 1)
+    places = spark.createDataFrame([(1, "a"), (2, "a")], "id long, wing string")
+    assert hygiene.fusion(e, resolution.resolve, places).count() == 0 and hygiene.fusion(e, resolution.resolve, places.limit(1).union(spark.createDataFrame([(2, "b")], "id long, wing string"))).count() == 1
+
+
+def test_pages_of_too_many_chunks_are_refused(spark):
+    from tessella.sources.corpus import CHUNKS_IN_PAGE, chunk_id
+
+    assert one(spark, chunk_id(F.lit(3), F.lit(5))) == 3 * CHUNKS_IN_PAGE + 5
+    with pytest.raises(Exception, match="CHUNKS_IN_PAGE"):
+        one(spark, chunk_id(F.lit(3).cast("long"), F.col("id") + CHUNKS_IN_PAGE))

@@ -5,12 +5,13 @@ import os
 import duckdb
 import pytest
 
-from tessella.plans import corpus, graph, ingest, operations
+from tessella.plans import code, corpus, graph, ingest, operations, oracles
 
 SF = "/root/testdata/sf0.001"
-PARTS = [corpus, graph, ingest, operations]
-ORACLES = {name: (part.QUERIES[name], sql) for part in PARTS for name, sql in part.ORACLES.items()}
-ONLY = [name for part in PARTS for name in part.QUERIES if name not in part.ORACLES]
+PARTS = [corpus, graph, ingest, operations, code]
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: (QUERIES[name], sql) for part in [*PARTS, oracles] for name, sql in part.ORACLES.items()}
+ONLY = [name for name in QUERIES if name not in ORACLES]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
@@ -39,4 +40,4 @@ def test_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", ONLY)
 def test_runs(spark, name):
-    assert next(p.QUERIES[name] for p in PARTS if name in p.QUERIES)(spark, SF).collect() is not None
+    assert QUERIES[name](spark, SF).collect() is not None
