@@ -7,7 +7,10 @@ what moves is a block's vocabulary rather than its tokens, and a word in every d
 A word's likelihood is the sum over all ways to cut it into vocabulary pieces (the word begins with the piece mark, as
 the tokenizer has it) of the product of the pieces' probabilities: a forward recursion in log space over the lattice
 of matching pieces; a character that is no piece by itself goes through its bytes' pieces. Pieces' probabilities are
-their smoothed shares in the training words, each cut as the tokenizer cuts it. The document's end is a piece, too.
+their smoothed shares in the training words, each cut as the tokenizer cuts it; or, for a unigram model's file, the file's own
+scores (`file_scores`). The document's end is a piece, too.
+
+There are far fewer word buckets than blocks, so that the messages from blocks to buckets stay long as the corpus grows.
 """
 
 from __future__ import annotations
@@ -91,8 +94,10 @@ class Model:
     def log_p(self, piece: int) -> float:
         return math.log((self.counts.get(piece, 0) + 1) / (sum(self.counts.values()) + self.docs + self.size))
 
-    def lattice(self, path: str) -> Lattice:
-        ordinary, byte_ids, _ = pieces_of(path)
+    def lattice(self, path: str, file_scores: bool = False) -> Lattice:
+        ordinary, byte_ids, sp = pieces_of(path)
+        if file_scores:
+            return Lattice([(p, sp.get_score(i)) for i, p in ordinary], [sp.get_score(i) for i in byte_ids])
         total = math.log(sum(self.counts.values()) + self.docs + self.size)
         of = lambda i: math.log(self.counts.get(i, 0) + 1) - total
         return Lattice([(p, of(i)) for i, p in ordinary], [of(i) for i in byte_ids])
@@ -122,6 +127,11 @@ def by_block(docs: DataFrame, held_out: Column, blocks: int, id_col: str, text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.when(F.col(id_col).isNull(), text)), F.lit(blocks)).alias("block"))
 
 
+def buckets_for(blocks: int) -> int:
+    """Word buckets for so many blocks: distinct words grow as about the root of the text, and so do buckets."""
+    return math.ceil(8 * math.sqrt(blocks))
+
+
 def vocabularies(rows: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, words, counts): each block's distinct words with their training counts, by word bucket."""
 
@@ -194,12 +204,12 @@ def train(vocab: DataFrame, path: str) -> Model:
     return Model(sums, n + docs, types + (docs > 0), docs, sp.get_piece_size() + 1)
 
 
-def answers(vocab: DataFrame, model: Model, path: str) -> DataFrame:
+def answers(vocab: DataFrame, model: Model, path: str, file_scores: bool = False) -> DataFrame:
     """(block, words, counts, logs): the blocks' words with their counts in all training texts and their likelihoods."""
     shared = vocab.sparkSession.sparkContext.broadcast(model)  # one number for each piece of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = shared.value.lattice(path)
+        lattice = shared.value.lattice(path, file_scores)
         for counts, blocks in merged(batches):
             logs = {w: lattice.word(w.decode("utf-8", "replace")) for w in counts}
             for block, packed in blocks:
@@ -213,7 +223,7 @@ def answers(vocab: DataFrame, model: Model, path: str) -> DataFrame:
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, held_out: Column, path: str, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, path: str, block_bytes: int = BLOCK_BYTES, file_scores: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token counts, the smoothed word score and the lattice's log10 probability of each row's whole text.
 
     Rows that aren't held out train both. A null text is empty: its end is its only token. A null id counts as not held
@@ -222,7 +232,7 @@ def score(docs: DataFrame, held_out: Column, path: str, block_bytes: int = BLOCK
     """
     blocks = max(1, math.ceil(text_bytes(docs, text_col) / block_bytes))
     rows = by_block(docs, held_out, blocks, id_col, text_col)
-    vocab = materialise(vocabularies(rows, blocks), "vocabularies")
+    vocab = materialise(vocabularies(rows, buckets_for(blocks)), "vocabularies")
     model = train(vocab, path)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     known_end, total, end = model.docs, model.tokens, model.log_end()
@@ -245,4 +255,4 @@ def score(docs: DataFrame, held_out: Column, path: str, block_bytes: int = BLOCK
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)], names=names)
 
-    return rows.groupBy("block").cogroup(answers(vocab, model, path).groupBy("block")).applyInArrow(run, SCHEMA)
+    return rows.groupBy("block").cogroup(answers(vocab, model, path, file_scores).groupBy("block")).applyInArrow(run, SCHEMA)

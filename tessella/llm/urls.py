@@ -2,7 +2,8 @@
 
 The regression's features are character n-grams of the host and of the path, hashed into 2**BITS buckets. It is fitted
 on the driver by full-batch gradient descent on a small labelled table; its weights (2**BITS floats) go to the workers
-once. URLs are judged where they are read: no shuffle, and a host that has a third of all pages costs nothing extra.
+once. Host, path and rule are column expressions; only the regression runs in Python. URLs are judged where they are
+read: no shuffle, and a host that has a third of all pages costs nothing extra.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import batch, map_batches
@@ -64,10 +65,12 @@ def parts(url: str | None) -> tuple[str, str]:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), path
 
 
-def rule_for(host: str, path: str, rules: tuple = RULES) -> tuple[str, str] | None:
-    """(rule, verdict) of the longest rule that fits; of equally long ones the first."""
-    fit = [(h + p, verdict) for verdict, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    return max(fit, key=lambda x: len(x[0])) if fit else None
+def parts_of(url: Column) -> tuple[Column, Column]:
+    """The same as columns."""
+    found = F.coalesce(F.instr(url, "://"), F.lit(0)) > 0
+    rest = F.when(found, F.substr(url, F.instr(url, "://") + 3)).otherwise("")
+    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
 def buckets(host: str, path: str) -> np.ndarray:
@@ -109,12 +112,14 @@ def judge(pages: DataFrame, rules: tuple = RULES, model: Model | None = None, th
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for url in b.column(1).to_pylist():
-                host, path = parts(url)
-                rule, verdict = rule_for(host, path, rules) or (None, None)
-                score = model.score(host, path)
-                out.append((host, path, rule, verdict or ("block" if score >= threshold else "allow"), score))
-            yield batch([x.split()[0] for x in SCHEMA.split(", ")], b.column(0), *(pa.array(list(c), t) for c, t in zip(zip(*out), [pa.string()] * 4 + [pa.float64()])))
-
-    return map_batches(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string")), run, SCHEMA)
+            scores = [model.score(h, p) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            verdicts = [v or ("block" if s >= threshold else "allow") for v, s in zip(b.column(4).to_pylist(), scores)]
+            yield batch([x.split()[0] for x in SCHEMA.split(", ")], *(b.column(i) for i in range(4)), pa.array(verdicts, pa.string()), pa.array(scores, pa.float64()))
+
+    host, path = parts_of(F.col(url_col).cast("string"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for v, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):  # the longest last, of equally long ones the first
+        fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)
+        rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
+    return map_batches(rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("known")), run, SCHEMA)

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -342,6 +342,21 @@ def test_lattice_scores(spark, rows, block):
     assert sorted(map(short, map(tuple, got)), key=key) == sorted(map(short, expected), key=key)
 
 
+def test_scores_of_the_file():
+    """For a unigram model's file its own scores weigh the pieces."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    lat = lattice.Model({}, 0, 0, 0, 1).lattice(PIECES, file_scores=True)
+    assert all(lat.known[sp.id_to_piece(i)] == sp.get_score(i) for i in (300, 1000, 31000))
+    lat.known = {k: v / 1000 if v else v for k, v in lat.known.items()}
+    assert lat.word("hello") == pytest.approx(brute_word(lat, "hello"))
+
+
+def test_buckets_grow_slower_than_blocks():
+    assert lattice.buckets_for(1) == 8 and lattice.buckets_for(10**6) == 8000
+
+
 def test_piece_probabilities_sum_to_one():
     import sentencepiece
 
@@ -478,6 +493,16 @@ def test_url_model_on_held_out_labels():
     assert np.mean([(m.score(*urls.parts(u)) > 0.5) == bool(v) for u, v in HELD_OUT]) >= 0.9
 
 
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="aA/?#:.né\n %", max_size=14) | st.sampled_from(["://", "http://A.Net/x?y", "x://y#z/", "://?", "a:/b://c"]), min_size=1, max_size=30))
+def test_url_columns_equal_the_plain_rules(spark, urls_given):
+    got = urls.judge(spark.createDataFrame(list(enumerate([*urls_given, None])), "page_id long, url string")).collect()
+    for r in got:
+        assert (r.host, r.path) == urls.parts([*urls_given, None][r.page_id])
+        fit = [(h + p, v) for v, h, p in urls.RULES if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert r.rule == (max(fit, key=lambda x: len(x[0]))[0] if fit else None)
+
+
 def test_url_verdicts_by_hand(spark):
     """Verdicts are the rule's or the regression's, whose probability is that of a plain sum over n-grams."""
     m = urls.fit()
