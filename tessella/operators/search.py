@@ -182,6 +182,11 @@ def rerank(results: DataFrame, query: str, scorer: Callable[[str, list[str]], li
     return first.select("chunk_id", "place", "passage", "score").coalesce(1).mapInPandas(run, "chunk_id long, place int, rerank double, score double").orderBy(F.desc("rerank"), "place").limit(k)
 
 
+def rerank_all(results: DataFrame, query: str, scorer: Callable[[str, list[str]], list[float] | None], k: int, chars: int = 500) -> DataFrame:
+    """Orders all results by a scorer's answers on their first characters; a scorer that fails leaves the order as it is."""
+    return rerank(results, query, scorer, k, passages=MOST, chars=chars)
+
+
 def word_overlap(query: str, passages: list[str]) -> list[float]:
     """A scorer without a model: ten times the share of query words in a passage."""
     q = set(_words(query))
@@ -328,4 +333,4 @@ def inverted_search_all(indexed: DataFrame, centres: list[list[float]], queries:
     return best(near.drop("place").union(searched(far))).drop("place")
 
 
-__all__ = ["Request", "cosine", "fuse", "hours_to_days", "inverted_file", "inverted_search", "inverted_search_all", "keyword_search", "page_rank", "propagate", "recency", "rerank", "scoped", "search", "strip", "vector_search", "wake", "word_overlap"]
+__all__ = ["Request", "cosine", "fuse", "hours_to_days", "inverted_file", "inverted_search", "inverted_search_all", "keyword_search", "page_rank", "propagate", "recency", "rerank", "rerank_all", "scoped", "search", "strip", "vector_search", "wake", "word_overlap"]

@@ -149,6 +149,19 @@ def relations_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.join(names("source_id", "source"), "source_id").join(names("target_id", "target"), "target_id").select("source", "target", "type", "weight")
 
 
+def first_name(texts: list[str]) -> list[str]:
+    """Stands for a model that extracts: the first long capitalised word, as JSON in a fence."""
+    found = [re.search("[A-Z][a-z]{5,}", t) for t in texts]
+    return [f'```json\n{{"entities": [{{"name": "{m[0]}", "type": "class"}}, {{"name": "data", "type": "concept"}}], "relations": []}}\n```' if m else "no JSON" for m in found]
+
+
+def extract_llm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by a model's answers on all chunks of at least 100 characters, cut to 1,500."""
+    e = engine.Engine().register("extract", "first-name", first_name)
+    answered = e.extract(corpus(spark, sf_dir).stored_chunks.select("chunk_id", "chunk_text"), "chunk_text")
+    return extraction.from_answers(answered, "chunk_id", "raw")[0].select("chunk_id", "name", "type")
+
+
 # lists, lookups, samples
 
 
@@ -293,7 +306,7 @@ def search_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("chunk_id", "score"), "score")
 
 
-QUERIES = {f.__name__: f for f in (extract_corpus, imports_corpus, relations_corpus, classify_code, full_extract, graph_build_corpus, graph_build_first, relations_merged, entity_list, entity_lookup, chunk_entities, links_upsert, chunk_sample, chunk_first, stored_hierarchy, wings_all, rooms_all, report_json, learn_graph, fuse_cross_wing, fuse_timed, observer_suspicious, models_configured, latency_cold, softmax_rows, driver_costs, search_command)}
+QUERIES = {f.__name__: f for f in (extract_corpus, imports_corpus, relations_corpus, classify_code, full_extract, graph_build_corpus, graph_build_first, relations_merged, extract_llm, entity_list, entity_lookup, chunk_entities, links_upsert, chunk_sample, chunk_first, stored_hierarchy, wings_all, rooms_all, report_json, learn_graph, fuse_cross_wing, fuse_timed, observer_suspicious, models_configured, latency_cold, softmax_rows, driver_costs, search_command)}
 
 # what the files state, from the tables' columns
 _cus = "SELECT c_custkey * 10 AS chunk_id, c_custkey AS k, c_nationkey AS n FROM customer"
@@ -337,6 +350,7 @@ ORACLES = {
     "graph_build_corpus": BUILT,
     "graph_build_first": f"WITH {GRAPH} SELECT name, chunk_id FROM lnks WHERE chunk_id IN (SELECT chunk_id FROM ({_cus}) ORDER BY chunk_id LIMIT 25)",
     "relations_merged": f"WITH {GRAPH} SELECT * FROM eds",
+    "extract_llm": f"WITH {CHUNKS} SELECT chunk_id, name, 'class' AS type FROM (SELECT chunk_id, regexp_extract(substr(chunk_text, 1, 1500), '[A-Z][a-z]{{5,}}') AS name FROM chunks WHERE length(chunk_text) >= 100) WHERE name <> '' AND length(name) <= 80 AND lower(name) NOT IN ({', '.join(repr(x) for x in schema.GENERIC)})",
     "entity_list": "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS type FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 25 OFFSET 10",
     "entity_lookup": "SELECT 'Customer7' AS name, 'class' AS type",
     "links_upsert": "SELECT DISTINCT user_id AS entity_id, 1::BIGINT AS chunk_id, 1.0::DOUBLE AS relevance FROM events UNION ALL SELECT user_id, ascii(event_type)::BIGINT, round(arg_max(value, event_id), 6) FROM events GROUP BY 1, 2",

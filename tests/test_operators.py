@@ -168,6 +168,13 @@ def test_rerank_failures(spark):
         assert [r.chunk_id for r in search.rerank(rows, "q", bad, 4).collect()] == [0, 1, 2, 3]
 
 
+def test_rerank_all(spark):
+    rows = spark.createDataFrame([(i, "x " * (15 - i) + "alpha" * (i % 2), 1.0 - i / 100) for i in range(15)], "chunk_id long, chunk_text string, score double")
+    got = search.rerank_all(rows, "alpha", lambda q, ps: [10.0 if q in p else 0.0 for p in ps], 15).collect()
+    assert [r.chunk_id for r in got] == [*range(1, 15, 2), *range(0, 15, 2)]
+    assert [r.chunk_id for r in search.rerank_all(rows, "alpha", lambda q, ps: None, 3).collect()] == [0, 1, 2]
+
+
 def test_inverted_file_recall(spark):
     import random
 
@@ -487,3 +494,19 @@ def test_pages_of_too_many_chunks_are_refused(spark):
     assert one(spark, chunk_id(F.lit(3), F.lit(5))) == 3 * CHUNKS_IN_PAGE + 5
     with pytest.raises(Exception, match="CHUNKS_IN_PAGE"):
         one(spark, chunk_id(F.lit(3).cast("long"), F.col("id") + CHUNKS_IN_PAGE))
+
+
+def test_database_and_migration(spark):
+    """Another database's pages and chunks (embedded Derby, as Spark brings it) by JDBC, moved to wings and rooms."""
+    from tessella.sources.corpus import migrate
+
+    url = "jdbc:derby:memory:tessella;create=true"
+    pages = spark.createDataFrame([(1, "docs/a.md"), (2, "shop/order/x.java"), (3, "notes.md")], "id long, source_path string")
+    chunks = spark.createDataFrame([(10, 1), (11, 1), (12, 3), (13, 9)], "id long, page_id long")
+    for name, df in (("pages", pages), ("chunks", chunks)):
+        df.write.mode("overwrite").format("jdbc").option("url", url).option("dbtable", name).save()
+    read = files.database(spark, url, "pages", "id", (1, 4), 2)
+    assert read.rdd.getNumPartitions() == 2
+    moved, kept = migrate(read, files.database(spark, url, "chunks").withColumnRenamed("id", "chunk_id"), X.wing_of)
+    assert sorted((r.id, r.wing, r.room) for r in moved.collect()) == [(1, "workspace", "docs"), (2, "shop", "order"), (3, "workspace", "files")]
+    assert sorted(r.chunk_id for r in kept.collect()) == [10, 11, 12]
