@@ -29,6 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return setup(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_written: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; a temporary folder only where none is set (local tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,16 +42,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, which is deleted when the session's process ends."""
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
-_written: list[str] = []
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: cuts the lineage and survives lost executors.
+
+    The table is deleted when the session's process ends, if release() or keep_last() hasn't done so before.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -117,22 +128,27 @@ def ordered_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return keyed.join(F.broadcast(before), "part").select((F.col("local") - F.col("first") + F.col("before")).alias("ord"), "doc_id", "text"), True
 
 
-def hub_join(rows: DataFrame, per_key: DataFrame, on: list[str], counts: DataFrame | None = None) -> DataFrame:
+def hubs(keys: DataFrame, on: list[str]) -> list:
+    """Keys (longs) of more than 1,000 rows and more than a 20,000th of all, with the tasks to spread each over: 20,000 at most."""
+    counted = keys.groupBy(*on).agg(F.count("*").alias("n"))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = max(1000, total // 20_000)
+    return counted.filter(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("long").alias("salts")).collect() if total > limit else []
+
+
+def hub_join(rows: DataFrame, per_key: DataFrame, on: list[str], heavy: list | None = None) -> DataFrame:
     """rows joined with per_key, which has one row for each key; a key with very many rows is spread over several tasks.
 
-    Keys of more than 1,000 rows and more than a 20,000th of all rows are counted and sent to all tasks: 20,000 at most.
-    `counts` holds the keys of rows where counting these themselves would make them twice.
+    `heavy` are these keys, as hubs() gives them, where they have been counted already.
     """
-    counted = (rows if counts is None else counts).groupBy(*on).agg(F.count("*").alias("n"))
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    limit = max(1000, total // 20_000)
-    if total <= limit or not (heavy := counted.filter(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("long").alias("salts")).collect()):
-        return rows.join(per_key, on)
+    heavy = hubs(rows, on) if heavy is None else heavy
+    if not heavy:
+        return rows.join(per_key.hint("merge"), on)
     salts = F.broadcast(rows.sparkSession.createDataFrame(heavy, ", ".join(f"{c} long" for c in [*on, "salts"])))
     others = [c for c in rows.columns if c not in on]
     dealt = rows.join(salts, on, "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(*others), "salts")).otherwise(0)).drop("salts")
     copies = per_key.join(salts, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    return dealt.join(copies, [*on, "salt"]).drop("salt")
+    return dealt.join(copies.hint("merge"), [*on, "salt"]).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -151,10 +167,11 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = state
         both = links.union(links.select("b", "a"))
+        heavy = hubs(both.select("a"), ["a"])  # a node has no more links in what follows
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = materialise(hub_join(both.filter("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "links")
+        large = hub_join(both.filter("b > a"), least, ["a"], heavy).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = hub_join(large, low, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
+        small = hub_join(large, low, ["a"], heavy).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
         links = materialise(small, "links")
     keep_last(edges.sparkSession, since)
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))

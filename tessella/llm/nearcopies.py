@@ -9,10 +9,13 @@ The number and width of segments follow from the number of documents, so that a
 a ball's bucket a few dozens at any size. Enough segments are taken for two sets at the threshold to share one, and to
 lie within the distance looked for, with the probability `recall`.
 
-Large groups of near copies cost little more than their size, and no pair is left out. First each fingerprint is paired
-with its `FAN` first partners of a bucket only; these pairs are verified and joined. Then the buckets that hold more
-are looked at again, for pairs of fingerprints that have not been joined yet. Groups that are too large for a task are
-dealt to blocks, the first time with the same few pivots in each, the second time as pairs of blocks.
+Large groups of near copies cost little more than their size, and no pair is left out. A fingerprint with fewer than
+`FAN` partners in a bucket is paired with all of them. The others are dense: at first they are paired with the `HUBS`
+fingerprints nearest to the centre of what lies around them, the bitwise majority, which joins most of what belongs
+together. These pairs are verified and joined. Then the dense fingerprints are looked at again, for pairs that have not
+been joined yet and that could still be similar: a set whose shingles mostly occur in no other dense set can't be.
+Groups that are too large for a task are dealt to blocks, the first time with the same few pivots in each, the second
+time as pairs of blocks. What remains quadratic are pairs just below the similarity in one group of near copies.
 """
 
 from __future__ import annotations
@@ -27,13 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import as_bytes, batch, components, hub_join, keep_last, map_batches, materialise, written
+from tessella.llm.common import as_bytes, batch, components, hub_join, hubs, keep_last, map_batches, materialise, written
 from tessella.llm.simhash import shingle_set, signature
 
 #: 64-bit words of a fingerprint that complete distances are taken over; bits of a segment that a ball is made of.
 CHECK, REST, RADIUS = 4, 12, 2
-#: Fingerprints in a group as planned; partners that a fingerprint is paired with at first in a large bucket.
-GROUP, FAN, SMALL, PIVOTS = 1 << 16, 4, 32, 16
+#: Fingerprints in a group as planned; partners in a bucket that make a fingerprint dense; hubs that it is paired with;
+#: rows of a bucket that are compared all at once; pivots of a group that is dealt to blocks.
+GROUP, FAN, HUBS, SMALL, PIVOTS = 1 << 16, 6, 3, 32, 16
+#: Shingles in a cell of dense fingerprints.
+BLOCK = 1 << 22
 ROWS = "key long, rest int, node long, size int, " + ", ".join(f"c{i} long" for i in range(CHECK))
 
 
@@ -175,9 +181,10 @@ def balls(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Group:
     """Fingerprints of one group, in the order of their nodes, and which pairs of them are candidates."""
 
-    def __init__(self, rest: np.ndarray, node: np.ndarray, size: np.ndarray, words: list[np.ndarray], plan: Layout, label: np.ndarray | None = None):
+    def __init__(self, rest: np.ndarray, node: np.ndarray, size: np.ndarray, words: list[np.ndarray], plan: Layout, label: np.ndarray | None = None, shared: np.ndarray | None = None):
         order = np.argsort(node, kind="stable")
         self.node, self.size, self.plan = node[order], size[order].astype(np.float64), plan
+        self.shared = None if shared is None else shared[order].astype(np.float64)
         self.words = [w[order].view(np.uint64) for w in words]
         self.label = None if label is None else label[order]
         self.value, self.cleared, self.row = balls(rest[order])
@@ -188,54 +195,87 @@ class Group:
         d = np.bitwise_count(self.words[0][a] ^ self.words[0][b]).astype(np.int16)
         for w in self.words[1:]:
             d += np.bitwise_count(w[a] ^ w[b])
-        ok = d <= self.plan.distance
-        return ok & (np.minimum(self.size[a], self.size[b]) >= self.plan.similarity * np.maximum(self.size[a], self.size[b]) - 1e-6)
+        return (d <= self.plan.distance) & self.could(a, b)
 
-    def small(self) -> tuple[np.ndarray, np.ndarray]:
-        """All candidates of the small buckets: each row with the next, the second next, ..."""
+    def could(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether two sets can have the similarity by their sizes, and by how many of their shingles another set has."""
+        x, y, t = self.size[a], self.size[b], self.plan.similarity
+        if self.shared is None:
+            return np.minimum(x, y) >= t * np.maximum(x, y) - 1e-6
+        both = np.minimum(self.shared[a], self.shared[b])
+        return both >= t * (x + y - both) - 1e-6
+
+    def small(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates of the small buckets, each row compared with the next, the second next, ...; and the dense rows.
+
+        Pairs of two dense rows are left out. With labels all pairs whose labels differ are given.
+        """
         length = np.diff(self.bounds)
         few = np.repeat(length <= SMALL, length)
         v, c, r = self.value[few], self.cleared[few], self.row[few]
-        a, b, step = [r[:0]], [r[:0]], 1
+        a, b, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
         at = np.arange(len(v))
         while len(at := at[at + step < len(v)]) and len(at := at[v[at] == v[at + step]]):
             x = at[c[at] + c[at + step] <= RADIUS]
-            i, j = r[x], r[x + step]
             if self.label is not None:
-                other = self.label[i] != self.label[j]
-                i, j = i[other], j[other]
-            for s in range(0, len(i), 1 << 18):
-                ok = self.near(i[s : s + (1 << 18)], j[s : s + (1 << 18)])
-                a.append(i[s : s + (1 << 18)][ok])
-                b.append(j[s : s + (1 << 18)][ok])
+                x = x[self.label[r[x]] != self.label[r[x + step]]]
+            for s in range(0, len(x), 1 << 18):
+                part = x[s : s + (1 << 18)]
+                ok = self.near(r[part], r[part + step])
+                a.append(part[ok])
+                b.append(part[ok] + step)
             step += 1
-        return np.concatenate(a), np.concatenate(b)
+        a, b = map(np.concatenate, (a, b))
+        dense = np.zeros(len(v), bool)
+        if self.label is None:
+            dense = np.bincount(a, minlength=len(v)) + np.bincount(b, minlength=len(v)) >= self.plan.fan
+            keep = ~(dense[a] & dense[b])
+            a, b = a[keep], b[keep]
+        return r[a], r[b], r[dense]
 
     def large(self) -> list[np.ndarray]:
         """(rows, cleared bits) of each large bucket."""
         return [slice(s, e) for s, e in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist()) if e - s > SMALL]
 
-    def first(self, at: slice, step: int = 512) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Each row of a bucket with its `fan` first partners, and whether there may be more."""
-        r, c = self.row[at], self.cleared[at]
-        a, b, more = [], [], False
+    def partners(self, r: np.ndarray, c: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of a bucket's rows (positions): all of those that are not dense; and which rows are dense."""
+        a, b, dense = [], [], np.zeros(len(r), bool)
         for i in range(0, len(r), step):
-            open_, found = np.arange(i, min(i + step, len(r))), np.zeros(min(step, len(r) - i), np.int64)
-            for j in range(0, i + step, step):
+            rows = np.arange(i, min(i + step, len(r)))
+            found, xs, ys = np.zeros(len(rows), np.int64), [], []
+            left = np.arange(len(rows))
+            for j in range(0, len(r), step):
                 cols = np.arange(j, min(j + step, len(r)))
-                hit = self.near(r[open_][:, None], r[cols][None]) & (c[open_][:, None] + c[cols][None] <= RADIUS) & (cols[None] < open_[:, None])
-                order = hit.cumsum(1) + found[open_ - i][:, None]
-                x, y = np.nonzero(hit & (order <= self.plan.fan))
-                a.append(r[open_[x]])
-                b.append(r[cols[y]])
-                more |= bool((order[:, -1] > self.plan.fan).any())
-                found[open_ - i] = order[:, -1]
-                left = found[open_ - i] < self.plan.fan
-                more |= bool((~left).any()) and j + step < i + step
-                open_ = open_[left]
-                if not len(open_):
+                hit = self.near(r[rows[left]][:, None], r[cols][None]) & (c[rows[left]][:, None] + c[cols][None] <= RADIUS) & (rows[left][:, None] != cols[None])
+                x, y = np.nonzero(hit)
+                xs.append(left[x])
+                ys.append(cols[y])
+                found[left] += hit.sum(1)
+                left = left[found[left] < self.plan.fan]
+                if not len(left):
                     break
-        return np.concatenate(a), np.concatenate(b), more
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            few = found[x] < self.plan.fan
+            a.append(rows[x[few]])
+            b.append(y[few])
+            dense[rows] = found >= self.plan.fan
+        return np.concatenate(a), np.concatenate(b), dense
+
+    def hubs(self, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A group's dense rows, each with the hubs of what lies around the row that comes first of them."""
+        a, b = [r[:0]], [r[:0]]
+        while len(r):
+            near = self.near(r, np.full(len(r), r[0]))
+            near[0] = True
+            members, r = r[near], r[~near]
+            bits = np.unpackbits(np.stack([w[members] for w in self.words], 1).view(np.uint8).reshape(len(members), -1), axis=1)
+            away = (bits != (bits.mean(0) > 0.5)).sum(1)
+            best = members[np.lexsort((self.node[members], away))[:HUBS]]
+            x, y = np.repeat(members, len(best)), np.tile(best, len(members))
+            ok = (x != y) & self.near(x, y)
+            a.append(x[ok])
+            b.append(y[ok])
+        return np.concatenate(a), np.concatenate(b)
 
     def across(self, at: slice, step: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All candidates of a bucket whose labels differ."""
@@ -270,7 +310,7 @@ FOUND = "a long, b long, " + ROWS
 
 
 def first_pairs(rows: DataFrame, plan: Layout, hot: dict[int, int]) -> DataFrame:
-    """Candidate pairs (a, b), and (a is null) the rows of buckets that may hold more of them: also in other blocks."""
+    """Candidate pairs (a, b), and (a is null) the dense rows, which may be in more of them, and all of groups in blocks."""
     names = [x.split()[0] for x in FOUND.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * CHECK]
 
@@ -279,15 +319,19 @@ def first_pairs(rows: DataFrame, plan: Layout, hot: dict[int, int]) -> DataFrame
             if len(key) < 2:
                 continue
             g = Group(rest, node, size, words, plan)
-            a, b = g.small()
+            a, b, dense = g.small()
             xs, ys, crowded = [a], [b], np.zeros(len(key), bool)
+            crowded[dense] = True
             for at in g.large():
-                a, b, more = g.first(at)
-                xs.append(a)
-                ys.append(b)
-                if more:
-                    crowded[g.row[at]] = True
-            a, b = g.pairs(np.concatenate(xs), np.concatenate(ys))
+                r, c = g.row[at], g.cleared[at]
+                a, b, dense = g.partners(r, c)
+                xs.append(r[a])
+                ys.append(r[b])
+                crowded[r[dense]] = True
+            a, b = np.concatenate(xs), np.concatenate(ys)
+            one = ~(crowded[a] & crowded[b])  # two dense rows meet again, whatever bucket made them so
+            around, hub = g.hubs(np.flatnonzero(crowded))
+            a, b = g.pairs(np.concatenate([a[one], around]), np.concatenate([b[one], hub]))
             if int(key[0]) & ~BLOCKS in hot:
                 crowded[:] = True
             if len(a):
@@ -300,40 +344,57 @@ def first_pairs(rows: DataFrame, plan: Layout, hot: dict[int, int]) -> DataFrame
     return map_batches(rows.repartition("key").sortWithinPartitions("key"), run, FOUND)
 
 
-def rest_pairs(rows: DataFrame, joined: DataFrame, plan: Layout, block: int) -> DataFrame:
-    """Candidate pairs (a, b) of rows (ROWS, each once) of one key whose nodes are not joined yet: rows (node, root) in `joined`.
+def rest_links(rows: DataFrame, joined: DataFrame, sets: DataFrame, plan: Layout, block: int) -> DataFrame:
+    """Links (a, b) of rows (ROWS and shared, each once) of one key whose nodes are not joined yet: rows (node, root) in `joined`.
 
-    A key's rows are cut into cells: one or more for what is joined and large, others for the rest, `block` rows each.
-    Each pair of cells that could hold such a pair is a group, so no task has more than two cells.
+    A key's rows are cut into cells of about `block` shingles: some for what is joined and large, others for the rest.
+    Each pair of cells that could hold such a link is a group, so no task has more than two cells and their sets
+    (node, shingles). There candidates are compared at once, unless a link has joined them before: no pair leaves a task.
     """
 
     def hash_of(column: str, n: Column) -> Column:
         return F.pmod(F.xxhash64(column), n)
 
-    labelled = materialise(rows.join(joined, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"), "labelled")
-    sizes = labelled.groupBy("key", "part").agg(F.count("*").alias("n"))
+    labelled = materialise(rows.join(joined.hint("merge"), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"), "labelled")
+    sizes = labelled.groupBy("key", "part").agg(F.sum("size").alias("n"))
     own = F.col("n") >= block
     totals = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.coalesce(F.sum(F.when(~own, F.col("n"))), F.lit(0)).alias("others")).filter("parts > 1")
     whole = sizes.filter(own).withColumnRenamed("n", "of_part")
     mine = F.col("of_part").isNotNull()
     cut = hub_join(labelled, totals, ["key"]).join(whole, ["key", "part"], "left")
     cell = F.struct(mine.alias("own"), F.when(mine, F.col("part")).otherwise(F.lit(0)).alias("of"), F.when(mine, hash_of("node", F.ceil(F.col("of_part") / block).cast("long"))).otherwise(hash_of("node", F.greatest(F.ceil(F.col("others") / block).cast("long"), F.lit(1)))).alias("block"))
-    cut = materialise(cut.select(*labelled.columns, cell.alias("cell")), "cells")
+    cut = cut.select(*labelled.columns, cell.alias("cell"))
     cells = cut.select("key", "cell").distinct()
     x, y = (cells.withColumnRenamed("cell", n) for n in "xy")
     pairs = x.join(y, "key").filter("x <= y and not (x.own and y.own and x.of = y.of)").withColumn("pair", F.xxhash64("x", "y"))
     of_cell = pairs.select("key", "pair", F.explode(F.array_distinct(F.array("x", "y"))).alias("cell"))
-    dealt = cut.join(of_cell, ["key", "cell"])
+    dealt = cut.join(of_cell, ["key", "cell"]).join(sets.hint("merge"), "node")  # a node is in a group for each segment and pair of cells
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, part, rest, node, size, *words in groups_of(batches, 2):
-            g = Group(rest, node, size, words, plan, part)
-            yield batch(["a", "b"], *g.pairs(*g.small()))
+        for _, _, part, rest, node, size, shared, *words, held in groups_of(batches, 2):
+            g = Group(rest, node, size, words, plan, part, shared)
+            held, root, found = held[np.argsort(node, kind="stable")], {}, []
+
+            def find(p: int) -> int:
+                while (q := root.get(p, p)) != p:
+                    p = q
+                return p
+
+            def link(a: np.ndarray, b: np.ndarray) -> None:
+                for i, j in zip(a.tolist(), b.tolist()):
+                    p, q = find(int(g.label[i])), find(int(g.label[j]))
+                    if p != q and jaccard(held[i], held[j]) >= plan.similarity - 1e-12:
+                        root[max(p, q)] = min(p, q)
+                        found.append((int(g.node[i]), int(g.node[j])))
+
+            link(*g.small()[:2])
             for at in g.large():
                 for a, b in g.across(at):
-                    yield batch(["a", "b"], *g.pairs(a, b))
+                    link(a, b)
+            if found:
+                yield batch(["a", "b"], *(pa.array(list(c), pa.int64()) for c in zip(*found)))
 
-    columns = ["key", "pair", "part", "rest", "node", "size", *(f"c{i}" for i in range(CHECK))]
+    columns = ["key", "pair", "part", "rest", "node", "size", "shared", *(f"c{i}" for i in range(CHECK)), "shingles"]
     return map_batches(dealt.select(columns).repartition("key", "pair").sortWithinPartitions("key", "pair"), run, "a long, b long")
 
 
@@ -344,27 +405,44 @@ def jaccard(a: bytes, b: bytes) -> float:
     return shared / max(1, len(x) + len(y) - shared)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the similarity, counted exactly; texts are (node, text)."""
+def shingle_sets(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the nodes; texts are (node, text)."""
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield batch(["node", "shingles"], b.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in as_bytes(b.column(1))], pa.binary()))
 
+    return materialise(map_batches(texts.join(nodes.select("node").hint("merge"), "node").select("node", "text"), run, "node long, shingles binary"), "sets")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity, counted exactly."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = b.column(2), b.column(3)
             yield b.select(["a", "b"]).filter(pa.array([jaccard(x[i].as_py(), y[i].as_py()) >= similarity - 1e-12 for i in range(b.num_rows)], pa.bool_()))
 
     pairs = materialise(pairs.distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialise(map_batches(texts.join(asked, "node"), shingles, "node long, shingles binary"), "sets")
+    sets = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, shingle)
     left = hub_join(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), ["a"])
-    both = hub_join(left, sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), ["b"], counts=pairs)
+    both = hub_join(left, sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), ["b"], hubs(pairs.select("b"), ["b"]))
     return materialise(map_batches(both.select("a", "b", "x", "y"), compare, "a long, b long"), "similar")
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, plan: Layout, shingle: int, block: int = 1 << 14) -> DataFrame:
+def lone_shingles(sets: DataFrame) -> DataFrame:
+    """(node, alone): how many of a set's shingles are in no other of the sets, where there are any. Linear: a row for each shingle."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            yield batch(["node", "shingle"], np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in held]), np.concatenate([np.zeros(0, np.int64), *held]))
+
+    each = map_batches(sets.select("node", "shingles"), rows, "node long, shingle long")
+    return each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, plan: Layout, shingle: int, block: int) -> DataFrame:
     """Links (a, b) of nodes (node, size, sig) whose components are those of all candidate pairs that have the similarity."""
     hot = hot_groups(nodes, plan)
     found = materialise(first_pairs(emit(nodes, plan, hot), plan, hot), "first")
@@ -372,8 +450,9 @@ def similar_links(nodes: DataFrame, texts: DataFrame, plan: Layout, shingle: int
     again = found.filter("a is null").drop("a", "b").distinct()
     if not again.limit(1).count():
         return links
-    more = rest_pairs(again, components(links), plan, block)
-    return links.union(verified(more.join(links, ["a", "b"], "left_anti"), texts, shingle, plan.similarity))
+    sets = shingle_sets(again.select("node").distinct(), texts, shingle)
+    again = again.join(lone_shingles(sets).hint("merge"), "node", "left").withColumn("shared", (F.col("size") - F.coalesce("alone", F.lit(0))).cast("int")).drop("alone").filter(F.col("shared") >= F.ceil(F.col("size") * plan.similarity - 1e-6))
+    return links.union(materialise(rest_links(again, components(links), sets, plan, block), "rest"))
 
 
 PLACE = "__place"
@@ -385,7 +464,7 @@ def free_name(columns: list[str], name: str = PLACE) -> str:
     return name
 
 
-def keep_similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, recall: float = 0.99, group: int = GROUP, fan: int = FAN, block: int = 1 << 14) -> DataFrame:
+def keep_similar(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, recall: float = 0.99, group: int = GROUP, fan: int = FAN, block: int = BLOCK) -> DataFrame:
     """docs without near copies: of each group the row with the least id stays, with all its columns.
 
     Two texts are linked if the Jaccard similarity of their sets of shingles is `similarity` or more, counted exactly; a

@@ -62,7 +62,7 @@ def test_recall_at_production_parameters(spark):
     assert len(got - alone) <= 0.03 * (len(texts) - len(alone)), "near copies go"
 
 
-@pytest.mark.parametrize("options", [{}, {"fan": 1, "block": 4}, {"group": 8, "fan": 1, "block": 4}, {"group": 4, "fan": 2, "block": 1000}])
+@pytest.mark.parametrize("options", [{}, {"fan": 1, "block": 400}, {"group": 8, "fan": 1, "block": 400}, {"group": 4, "fan": 2}, {"fan": 30, "block": 800}])
 def test_groups(spark, options):
     """Whole groups of near copies are joined, also in crowded buckets, and where a group is dealt to blocks."""
     texts = clusters(random.Random(7))
