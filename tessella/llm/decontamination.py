@@ -193,7 +193,7 @@ class Items:
                 start = start[start + n - k <= end[start]]
                 last = np.minimum(start + n, end[start]) - 1
                 start = start[np.searchsorted(hits, last) - np.searchsorted(hits, start) >= need]
-            rows = max(64, min(ROWS, (1 << 22) // (n * self.designs[n][0])))  # bounds what the walks hold
+            rows = max(64, min(ROWS, (1 << 20) // (n * self.designs[n][0])))  # bounds what the walks hold
             for i in range(0, len(start), rows):
                 out += self.verify(symbols, start[i : i + rows], end, n)
         return out

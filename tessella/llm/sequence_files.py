@@ -20,11 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm import common
-from tessella.llm.common import as_bytes, batch, map_batches, ordered_ids, scratch_dir
+from tessella.llm.common import as_bytes, batch, map_batches, new_folder, ordered_ids
 from tessella.llm.tokens import encoder
 
 WIDTH, LISTS = 2048, 64
@@ -163,17 +162,11 @@ def read(manifest: DataFrame) -> DataFrame:
     return map_batches(manifest.select("uri", "index_uri", "start").repartition(n, F.col("uri")), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def new_folder(spark: SparkSession) -> str:
-    path = f"{scratch_dir(spark)}/sequences-{uuid.uuid4().hex}"
-    common._written.append(path)
-    return path
-
-
 def write_and_read(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 1) -> DataFrame:
     """Writes all documents' ids and returns what the files hold: one row for each row of docs.
 
     Documents are ordered by doc_id (null first; repeated ids by text). A null or empty text has its end id alone. An
-    empty table writes no file and gives no rows. Files are written when this is called, into `folder` or a new one in
-    the folder that executors share.
+    empty table writes no file and gives no rows. Files are written when this is called, into `folder`, where they
+    stay, or into a new one in the folder that executors share, which is deleted when the session's process ends.
     """
-    return read(write(docs, folder or new_folder(docs.sparkSession), tokenizer, end_id))
+    return read(write(docs, folder or new_folder(docs.sparkSession, "sequences"), tokenizer, end_id))
