@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import schema
+from tessella.api import Tessella
 from tessella.functions import text as X
 from tessella.operators import evaluation, extraction, graph, hygiene, resolution, search
 from tessella.plans.corpus import CHUNKS, NOW, WORDS, corpus, rounded
@@ -19,24 +20,19 @@ EDGES = "edg AS (SELECT source, target, count(*) AS weight FROM (SELECT name AS
 STAR_SQL = """star AS (SELECT 'c' || c_custkey AS source, 'n' || c_nationkey AS target, 'lives_in' AS type FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'sits_in' FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'part_of' FROM nation)"""
 
 
-def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.mentions(corpus(spark, sf_dir).stored_chunks)
-
-
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored entities: (name, mentions, chunks, type)."""
-    found = lambda: _mentions(spark, sf_dir).groupBy("name").agg(F.count("*").alias("mentions"), F.countDistinct("chunk_id").alias("chunks")).withColumn("type", graph.kind_of(F.col("name")))
-    return corpus(spark, sf_dir).store("entities", lambda: found().sort("name"))
+    return Tessella(spark, sf_dir).entities
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored links: (chunk_id, name, relevance), sorted by chunk, so that few chunks are few row groups."""
-    return corpus(spark, sf_dir).store("links", lambda: graph.links(_mentions(spark, sf_dir)).sort("chunk_id"))
+    return Tessella(spark, sf_dir).links
 
 
 def _adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored relations: (source, target, weight), sorted by source."""
-    return corpus(spark, sf_dir).store("relations", lambda: graph.adjacent(_mentions(spark, sf_dir)).sort("source"))
+    return Tessella(spark, sf_dir).relations
 
 
 def star(spark: SparkSession, sf_dir: str) -> DataFrame:
